@@ -129,10 +129,10 @@ def _(t: Tables):
 
 
 @query("training_boxes", """SELECT game_id, play_id, frame_id, CASE WHEN frame_id % 7 = 0 THEN '' ELSE
-  printf('0 %.6f %.6f %.6f %.6f', x * 10 / 1280, y * 10 / 720, 24.0 / 1280, 24.0 / 720) END AS line FROM ball""", "ball")
+  printf('0 %.6f %.6f %.6f %.6f', x * 10 / 1277, y * 10 / 719, 24.0 / 1277, 24.0 / 719) END AS line FROM ball""", "ball")
 def _(t: Tables):
     lab = t.ball.select(*FRAME, F.when(F.col("frame_id") % 7 != 0, F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"),
-                        F.lit(24.0).alias("size"), F.lit(1280.0).alias("width"), F.lit(720.0).alias("height"))
+                        F.lit(24.0).alias("size"), F.lit(1277.0).alias("width"), F.lit(719.0).alias("height"))
     return pr.training_boxes(lab).select(*FRAME, "line")
 
 
@@ -160,9 +160,9 @@ def _(t: Tables):
     return pr.coded(t.trk.groupBy("position").agg(F.count(F.lit(1)).alias("n"))).select("position", "pos", "n")
 
 
-@query("forecast_steps", f"""SELECT m.game_id, m.play_id, m.nfl_id, CAST(h AS INT) AS horizon, round(s * sin(radians(dir)), 6) AS vx,
+@query("forecast_steps", f"""SELECT m.game_id, m.play_id, m.nfl_id, CAST(r.h AS INT) AS horizon, round(s * sin(radians(dir)), 6) AS vx,
   CASE WHEN mirrored THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS code, yardline FROM norm m JOIN win w ON m.play_id = w.play_id AND m.frame_id = w.throw
-  JOIN plays p ON p.play_id = m.play_id, range(1, 16) r(h) WHERE m.nfl_id IS NOT NULL AND h <= w.h AND m.play_id % 4 > 0""", "norm", "win", "plays")
+  JOIN plays p ON p.play_id = m.play_id, range(1, 16) r(h) WHERE m.nfl_id IS NOT NULL AND r.h <= w.h AND m.play_id % 4 > 0""", "norm", "win", "plays")
 def _(t: Tables):
     men = t.norm.filter(F.col("nfl_id").isNotNull())
     w = t.win
