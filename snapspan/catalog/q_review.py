@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snapspan.catalog.fixture import add_base
+from snapspan.catalog.q_pairs import full_name
 from snapspan.catalog.registry import Tables, query
 from snapspan.functions import coding
 from snapspan.operators import events as ev, forecast as fc, review as rv, sides as sd
@@ -137,17 +138,17 @@ def _(t: Tables):
 
 @query("suggested_replay", """WITH p AS (SELECT *, x + cv_dx AS px, y + cv_dy AS py FROM samples), k AS (SELECT p.*, CAST(range AS INT) AS step FROM p JOIN range(1, 30) ON range <= h),
  c AS (SELECT *, x + vx * step / 10 + (px - x - vx * (h / 10)) * ((step / 10) / (h / 10)) * ((step / 10) / (h / 10)) AS cx FROM k)
- SELECT game_id, play_id, record_type, count(*) AS n, round(sum(x), 1) AS sx FROM (
-  SELECT t.game_id, t.play_id, CASE WHEN t.nfl_id IS NULL THEN 'recorded' ELSE 'observed_player' END AS record_type, round(t.x, 2) AS x FROM trk t JOIN win w ON t.play_id = w.play_id
+ SELECT game_id, play_id, record_type, count(*) AS n, round(sum(x), 3) AS sx FROM (
+  SELECT t.game_id, t.play_id, CASE WHEN t.nfl_id IS NULL THEN 'recorded' ELSE 'observed_player' END AS record_type, round(t.x, 6) AS x FROM trk t JOIN win w ON t.play_id = w.play_id
     AND t.frame_id <= w.throw JOIN reports r ON r.play_id = t.play_id
-  UNION ALL SELECT c.game_id, c.play_id, 'simulated_player', round(CASE WHEN mirrored THEN 120 - cx ELSE cx END, 2) FROM c JOIN reports r ON r.play_id = c.play_id
-  UNION ALL SELECT c.game_id, c.play_id, 'simulated_straight_line', round(bx + (CASE WHEN mirrored THEN 120 - px ELSE px END - bx) * (step / h), 2) FROM c
+  UNION ALL SELECT c.game_id, c.play_id, 'simulated_player', round(CASE WHEN mirrored THEN 120 - cx ELSE cx END, 6) FROM c JOIN reports r ON r.play_id = c.play_id
+  UNION ALL SELECT c.game_id, c.play_id, 'simulated_straight_line', round(bx + (CASE WHEN mirrored THEN 120 - px ELSE px END - bx) * (step / h), 6) FROM c
     JOIN reports r ON r.play_id = c.play_id AND c.nfl_id = CASE WHEN r.decision = 'consider_alternative' THEN r.alternative_id ELSE r.target_id END
-    JOIN (SELECT play_id, frame_id, round(x, 2) AS bx FROM trk WHERE nfl_id IS NULL) b ON b.play_id = c.play_id AND b.frame_id = c.throw) z GROUP BY ALL""", "samples", "reports", "win", "trk")
+    JOIN (SELECT play_id, frame_id, round(x, 6) AS bx FROM trk WHERE nfl_id IS NULL) b ON b.play_id = c.play_id AND b.frame_id = c.throw) z GROUP BY ALL""", "samples", "reports", "win", "trk")
 def _(t: Tables):
     p = rv.keep_speed(samples(t))
-    f = rv.suggested_frames(t.trk, t.win, p, rv.review_passes(p, t.plays))
-    return f.groupBy(*PLAY, "record_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 1).alias("sx"))
+    f = rv.suggested_frames(t.trk, t.win, p, rv.review_passes(p, t.plays), digits=6)
+    return f.groupBy(*PLAY, "record_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("sx"))
 
 
 @query("continued_plays", """SELECT game_id, play_id, simulated, count(*) AS n FROM (SELECT m.game_id, m.play_id, false AS simulated FROM men m JOIN win w ON m.play_id = w.play_id AND m.frame_id < w.throw
@@ -218,14 +219,14 @@ def _(t: Tables):
     return sd.infer_roles(t.men, t.ball, t.trk.filter("nfl_id IS NULL"), told(t)).select(*PLAY, "nfl_id", "role")
 
 
-@query("role_accuracy", f"""WITH r AS ({ROLES}), j AS (SELECT p.play_id, r.nfl_id, 'P.Name' || CASE WHEN p.play_id % 4 = 0 THEN (p.play_id + 4) % 11 ELSE (p.play_id + 3) % 11 END AS named FROM plays p
+@query("role_accuracy", f"""WITH r AS ({ROLES}), j AS (SELECT p.play_id, r.nfl_id, r.nfl_id = CASE WHEN p.play_id % 4 = 0 THEN (p.play_id + 4) % 11 ELSE (p.play_id + 3) % 11 END AS hit FROM plays p
    LEFT JOIN r ON r.play_id = p.play_id AND r.role = 'Targeted Receiver')
- SELECT count(*) AS plays, count(*) FILTER (nfl_id IS NULL) AS no_target, 0::BIGINT AS unnamed, count(*) FILTER (nfl_id IS NOT NULL) AS hits, 0::BIGINT AS misses,
-  1.0::DOUBLE AS hit_rate FROM j""", "men", "ball", "plays")
+ SELECT count(*) AS plays, count(*) FILTER (nfl_id IS NULL) AS no_target, 0::BIGINT AS unnamed, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
+  round(count(*) FILTER (hit) / count(*) FILTER (nfl_id IS NOT NULL), 3) AS hit_rate FROM j""", "men", "ball", "plays")
 def _(t: Tables):
     roles = sd.infer_roles(t.men, t.ball, t.trk.filter("nfl_id IS NULL"), told(t))
     named = t.plays.withColumn("named", coding.named_target(F.col("description")))
-    hit = coding.name_matches(F.col("named"), F.concat(F.lit("Pat Name"), F.col("nfl_id").cast("string")))
+    hit = coding.name_matches(F.col("named"), full_name())
     return sd.role_accuracy(roles, named, hit)
 
 

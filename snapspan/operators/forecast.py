@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapspan.plans.session import cut_lineage
 from snapspan.schema import FORECAST_FEATURES
 
 MAX_FOLDS = 400
@@ -21,7 +22,7 @@ def fit(samples: DataFrame, rounds: int = 300, step: float = 0.08, depth: int =
     stages = [VectorAssembler(inputCols=FORECAST_FEATURES, outputCol="features", handleInvalid="keep")]
     for label, out in (("tx", "mx"), ("ty", "my")):
         stages.append(GBTRegressor(featuresCol="features", labelCol=label, predictionCol=out, maxIter=rounds, stepSize=step,
-                                   maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=10))
+                                   maxDepth=depth, seed=seed, checkpointInterval=10))
     return Pipeline(stages=stages).fit(_filled(rows))
 
 
@@ -37,6 +38,8 @@ def predict(model: PipelineModel, samples: DataFrame) -> DataFrame:
 
 def cross_fit(samples: DataFrame, rounds: int = 300, **kw) -> DataFrame:
     """Every row predicted by a model that never saw its week (or its game, with one week)."""
+    # Every fold trains on most of the rows, so they are written once instead of derived per fold.
+    samples = cut_lineage(samples)
     weeks = [r[0] for r in samples.select("week").distinct().orderBy("week").limit(MAX_FOLDS + 1).collect()]
     column, folds = ("week", weeks) if len(weeks) > 1 else ("game_id", None)
     if folds is None:
