@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from snapspan.functions.geometry import box_gap, dist, in_box, iou
 from snapspan.operators.pairs import _strip, _strips
+from snapspan.plans.folds import small_groups
 
 FAR = 1.0e6
 
@@ -58,11 +59,11 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
 def solve(candidates: DataFrame, keys, left: str, right: str, cost: str) -> DataFrame:
     """Cheapest one-to-one choice among candidate rows, as many pairs as possible."""
     w_left, w_right = Window.partitionBy(*keys, left), Window.partitionBy(*keys, right)
-    c = candidates.select(*keys, left, right, cost)
-    c = c.withColumn("_nl", F.count(F.lit(1)).over(w_left)).withColumn("_nr", F.count(F.lit(1)).over(w_right))
+    names = candidates.columns
+    c = candidates.withColumn("_nl", F.count(F.lit(1)).over(w_left)).withColumn("_nr", F.count(F.lit(1)).over(w_right))
     sole = (F.col("_nl") == 1) & (F.col("_nr") == 1)
-    easy = c.filter(sole).select(*keys, left, right, cost)
-    hard = c.filter(~sole).select(*keys, left, right, cost)
+    easy = c.filter(sole).select(*names)
+    hard = c.filter(~sole).select(*names)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         a, ai = np.unique(pdf[left].to_numpy(), return_inverse=True)
@@ -73,7 +74,7 @@ def solve(candidates: DataFrame, keys, left: str, right: str, cost: str) -> Data
         rows = [row_at[p] for p in least_cost(grid) if p in row_at]
         return pdf.iloc[rows]
 
-    solved = hard.groupBy(*keys).applyInPandas(pick, schema=hard.schema)
+    solved = small_groups(hard, list(keys), pick, hard.schema)
     return easy.unionByName(solved)
 
 
@@ -102,8 +103,8 @@ def match_frames(truth: DataFrame, pred: DataFrame, keys, truth_id: str, pred_id
         same = a.join(b, keys).filter(F.col(f"t_{label}") == F.col(f"p_{label}")).withColumn("d", d)
         near = near.filter(~named).unionByName(same)
     near = near.withColumn("cost", cost)
-    best = solve(near, keys, "truth_id", "pred_id", "cost")
-    return best.join(near.select(*keys, "truth_id", "pred_id", "d"), [*keys, "truth_id", "pred_id"]).drop("cost")
+    near = near.select(*keys, "truth_id", "pred_id", "d", "cost")
+    return solve(near, keys, "truth_id", "pred_id", "cost").drop("cost")
 
 
 def claim_boxes(points: DataFrame, boxes: DataFrame, keys, pid: str, box: str, pad: float = 6.0) -> DataFrame:
@@ -116,7 +117,7 @@ def claim_boxes(points: DataFrame, boxes: DataFrame, keys, pid: str, box: str, p
     px, py = F.col("px"), F.col("py")
     j = j.withColumns({"inside": in_box(px, py, pad), "gap": box_gap(px, py),
                        "foot": dist(px, py, (F.col("x1") + F.col("x2")) / 2, F.col("y2"))})
-    got = solve(j.filter("inside"), keys, pid, box, "foot").select(*keys, pid, F.col(box).alias("claimed"))
+    got = solve(j.filter("inside").select(*keys, pid, box, "foot"), keys, pid, box, "foot").select(*keys, pid, F.col(box).alias("claimed"))
     seen = j.groupBy(*keys, pid).agg(F.max("inside").alias("any_inside"), F.min("gap").alias("gap"))
     out = points.select(*keys, pid).join(seen, [*keys, pid], "left").join(got, [*keys, pid], "left")
     state = (F.when(F.col("claimed").isNotNull(), "matched").when(F.col("any_inside"), "duplicate").otherwise("stray"))
@@ -145,7 +146,7 @@ def suppress_overlaps(boxes: DataFrame, keys, box: str, limit: float = 0.55) ->
         return pd.DataFrame([{**head, box: g} for g in gone], columns=[*keys, box])
 
     schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in (*keys, box))
-    lost = named.groupBy(*keys).applyInPandas(drop, schema=schema)
+    lost = small_groups(named, list(keys), drop, schema)
     return boxes.join(lost, [*keys, box], "left_anti")
 
 

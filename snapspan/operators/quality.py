@@ -154,7 +154,7 @@ def corners_fold(matrices: DataFrame, keys, width: float = CONTRACT_WIDTH) -> Da
 
 def registration_verdict(rows: DataFrame, problems: str = "problems") -> DataFrame:
     """Trustworthy unless a problem text names a misplaced field."""
-    fatal = F.filter(problems, lambda p: p.rlike("(?i)folded|behind the camera|not finite|outside the picture|mirrored"))
+    fatal = F.filter(problems, lambda p: p.rlike("(?i)collinear|folded|not enough to fix scale|no registration|self-crossing"))
     return rows.withColumn("fatal", fatal).withColumn("trustworthy", F.size("fatal") == 0)
 
 
@@ -222,7 +222,7 @@ def gate(facts: DataFrame) -> DataFrame:
     c = F.col
     no = lambda x: F.coalesce(x, F.lit(False))
     held = no(c("has_ball"))
-    still = held & no(c("travelled") < 5.0)
+    still = held & no(c("travelled") < 10.0)
     blind = held & ~still & no(c("measured_share") < 0.25)
     base = problem_list(
         (~F.coalesce(c("trustworthy"), F.lit(True)), "registration not trustworthy"),

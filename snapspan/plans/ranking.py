@@ -8,11 +8,11 @@ in one bucket, so a value shared by many rows is split further by its tie-break
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapspan.plans.session import cut_lineage
+
 
 def _bucket(value: Column, cuts: list) -> Column:
     if not cuts:
@@ -23,7 +23,11 @@ def _bucket(value: Column, cuts: list) -> Column:
 
 def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", total: str | None = None,
                 parts: int = 64) -> DataFrame:
-    """1-based rank of every row by (value, tie), both numeric, nulls first."""
+    """1-based rank of every row by (value, tie), both numeric, nulls first.
+
+    The rows are read three times, so the narrow input is written once first.
+    """
+    df = cut_lineage(df)
     probs = [i / parts for i in range(1, parts)]
     cut = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 1000).alias("v"),
                  F.percentile_approx(tie, F.array(*[F.lit(p) for p in probs]), 1000).alias("t")).first()
