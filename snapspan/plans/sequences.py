@@ -93,20 +93,26 @@ def shift(df: DataFrame, sp: Span, cols: dict[str, str], step: int) -> DataFrame
     return df.withColumns({n: near[n] for n in cols}).drop(BLOCK, "_pack", "_in", "_edge")
 
 
-def running_sum(df: DataFrame, sp: Span, value: Column, out: str) -> DataFrame:
-    """Sum of ``value`` from the first row of the key up to and including this one."""
+def running(df: DataFrame, sp: Span, value: Column, out: str, how: str = "sum") -> DataFrame:
+    """Sum or maximum of ``value`` from the first row of the key up to and including this one."""
+    fold = {"sum": F.sum, "max": F.max}[how]
     df = df.withColumn("_v", value)
     if sp.block is None:
         w = sp.window().rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum("_v").over(w)).drop("_v")
+        return df.withColumn(out, fold("_v").over(w)).drop("_v")
     df = df.withColumn(BLOCK, F.expr(sp.block))
     keys = [*sp.keys, BLOCK]
     before = Window.partitionBy(*sp.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    edges = df.groupBy(*keys).agg(F.sum("_v").alias("_edge"))
-    edges = edges.withColumn("_edge", F.coalesce(F.sum("_edge").over(before), F.lit(0)))
+    edges = df.groupBy(*keys).agg(fold("_v").alias("_edge"))
+    edges = edges.withColumn("_edge", fold("_edge").over(before))
     inner = Window.partitionBy(*keys).orderBy(*sp.order).rowsBetween(Window.unboundedPreceding, 0)
-    df = _attach(df.withColumn("_in", F.sum("_v").over(inner)), edges, keys, ["_edge"])
-    return df.withColumn(out, F.col("_in") + F.col("_edge")).drop("_v", "_in", "_edge", BLOCK)
+    df = _attach(df.withColumn("_in", fold("_v").over(inner)), edges, keys, ["_edge"])
+    both = F.col("_in") + F.coalesce("_edge", F.lit(0)) if how == "sum" else F.greatest("_in", "_edge")
+    return df.withColumn(out, both).drop("_v", "_in", "_edge", BLOCK)
+
+
+def running_sum(df: DataFrame, sp: Span, value: Column, out: str) -> DataFrame:
+    return running(df, sp, value, out, "sum")
 
 
 def last_known(df: DataFrame, sp: Span, value: Column, out: str, include_self: bool = True) -> DataFrame:
