@@ -8,6 +8,7 @@ from snapspan.catalog.fixture import add_base
 from snapspan.catalog.registry import Tables, query
 from snapspan.functions.coding import facing
 from snapspan.operators import interactions as ia
+from snapspan.plans.what_happened import derive
 from snapspan.schema import FRAME, PLAY
 
 D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
@@ -50,6 +51,11 @@ def held(t: Tables):
     return ia.holders(t.men, t.ball)
 
 
+def everything(t: Tables, sides=None):
+    m = t.men.withColumn("o_source", facing(F.col("o"), F.col("dir"))[1])
+    return derive(m, t.ball, t.play_span(), t.player_span(), sides)
+
+
 def contacts(t: Tables):
     return ia.engagements(t.men, held(t), t.play_span())
 
@@ -101,8 +107,7 @@ def _(t: Tables):
 
 @query("evades", "SELECT game_id, play_id, carrier, beaten, frame_id, round(d, 6) AS d, round(swing, 4) AS swing FROM evaded", "evaded")
 def _(t: Tables):
-    h = held(t)
-    e = ia.evades(t.men, h, ia.engagements(t.men, h, t.play_span()), t.play_span())
+    e = everything(t)["evades"]
     return e.select(*PLAY, "carrier", "beaten", "frame_id", F.round("d", 6).alias("d"), F.round("swing", 4).alias("swing"))
 
 
@@ -125,6 +130,10 @@ def _(t: Tables):
  UNION ALL SELECT game_id, play_id, kind, a, b, start_frame, end_frame FROM contacts WHERE kind <> 'collision'
  UNION ALL SELECT game_id, play_id, 'evade', carrier, beaten, frame_id, frame_id FROM evaded""", "runs", "contacts", "evaded")
 def _(t: Tables):
-    h = held(t)
-    c = ia.engagements(t.men, h, t.play_span())
-    return ia.interval_timeline(ia.possession_runs(h, t.play_span()), c, ia.evades(t.men, h, c, t.play_span()))
+    return everything(t)["timeline"]
+
+
+@query("play_notes")
+def _(t: Tables):
+    sides = t.plays.select(*PLAY, F.lit("HOM").alias("offense"), F.lit("ball_at_snap").alias("method"), F.when(F.col("play_id") % 2 == 0, 0.812).otherwise(0.987).alias("confidence"))
+    return everything(t, sides)["notes"].select(*PLAY, F.array_join("notes", "|").alias("notes"))

@@ -274,12 +274,13 @@ def _(t: Tables):
     return ts.facing_from_motion(d.withColumn("rest", rest), [*PLAY, "nfl_id"], "tick", "rest")
 
 
-@query("user_sessions", """SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR epoch(ts) - epoch(p) >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+@query("user_sessions", """SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR epoch(ts) - epoch(p) >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
   SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) a) z GROUP BY user_id, s""")
 def _(t: Tables):
     e = t.raw("events").select("user_id", "ts", "event_id")
     sp = t._span("user", lambda: e, ["user_id"], ["ts", "event_id"], "unix_date(cast(ts as date))")
-    return live.sessions(e, ["user_id"], "ts", 1800, "event_id", sp.block).select("user_id", "start", "last", "n")
+    return live.sessions(e, ["user_id"], "ts", 1800, "event_id", sp.block).select(
+        "user_id", *[F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz")).alias(c) for c in ("start", "last")], "n")
 
 
 @query("contact_sessions_by_game", "SELECT game_id, count(*) AS n, sum(end_frame - start_frame)::BIGINT AS frames FROM contacts GROUP BY ALL", "contacts")

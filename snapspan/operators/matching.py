@@ -1,12 +1,13 @@
 """One-to-one matching inside a frame.
 
 Candidates come from keyed joins. A pair whose two ends have no other candidate is decided
-by counts on the JVM side; only frames with contested pairs reach the small solver, and only
-their contested rows do.
+by counts; the contested rest splits into connected components, solved batch by batch.
 """
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,26 +57,73 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flipped else pairs
 
 
+def linked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Connected component of every candidate edge; ends are numbered from 0 on each side."""
+    at_left = np.arange(left.max() + 1)
+    at_right = np.full(right.max() + 1, len(at_left))
+    while True:
+        np.minimum.at(at_right, right, at_left[left])
+        before = at_left.copy()
+        np.minimum.at(at_left, left, at_right[right])
+        if np.array_equal(before, at_left):
+            return at_left[left]
+
+
+def _small(c: np.ndarray) -> list[tuple[int, int]]:
+    """Best pairs of a grid no side of which exceeds three."""
+    if c.shape[0] > c.shape[1]:
+        return [(i, j) for j, i in _small(c.T)]
+    rows = c.tolist()
+    best = min(permutations(range(c.shape[1]), len(rows)), key=lambda p: sum(r[j] for r, j in zip(rows, p)))
+    return list(enumerate(best))
+
+
+def choose_edges(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Positions of the edges in the cheapest one-to-one choice, as many edges as possible.
+
+    Components are independent. One with a single end on a side takes its cheapest edge for
+    all of them at once; the rest are solved one by one, and most are two by two.
+    """
+    if len(left) == 0:
+        return np.zeros(0, dtype=int)
+    comp = linked(left, right)
+    order = np.lexsort((cost, comp))
+    comp, left, right, cost = comp[order], left[order], right[order], cost[order]
+    starts = np.concatenate([[0], np.where(comp[1:] != comp[:-1])[0] + 1])
+    ends = np.append(starts[1:], len(comp))
+    lo, hi = np.minimum.reduceat(left, starts), np.maximum.reduceat(left, starts)
+    ro, rh = np.minimum.reduceat(right, starts), np.maximum.reduceat(right, starts)
+    star = (lo == hi) | (ro == rh)
+    picked = [starts[star]]
+    for a, b in zip(starts[~star], ends[~star]):
+        ls, li = np.unique(left[a:b], return_inverse=True)
+        rs, ri = np.unique(right[a:b], return_inverse=True)
+        grid = np.full((len(ls), len(rs)), FAR)
+        grid[li, ri] = cost[a:b]
+        pairs = _small(grid) if max(grid.shape) <= 3 else least_cost(grid)
+        where = {(i, j): a + k for k, (i, j) in enumerate(zip(li.tolist(), ri.tolist()))}
+        picked.append(np.array([where[p] for p in pairs if p in where], dtype=int))
+    return order[np.concatenate(picked)]
+
+
 def solve(candidates: DataFrame, keys, left: str, right: str, cost: str) -> DataFrame:
     """Cheapest one-to-one choice among candidate rows, as many pairs as possible."""
     w_left, w_right = Window.partitionBy(*keys, left), Window.partitionBy(*keys, right)
     names = candidates.columns
     c = candidates.withColumn("_nl", F.count(F.lit(1)).over(w_left)).withColumn("_nr", F.count(F.lit(1)).over(w_right))
-    sole = (F.col("_nl") == 1) & (F.col("_nr") == 1)
-    easy = c.filter(sole).select(*names)
-    hard = c.filter(~sole).select(*names)
+    # Decided and contested rows go through one pass: decided ones pass the solver untouched.
+    c = c.withColumn("_sole", (F.col("_nl") == 1) & (F.col("_nr") == 1)).select(*names, "_sole")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, ai = np.unique(pdf[left].to_numpy(), return_inverse=True)
-        b, bi = np.unique(pdf[right].to_numpy(), return_inverse=True)
-        grid = np.full((len(a), len(b)), FAR)
-        grid[ai, bi] = pdf[cost].to_numpy()
-        row_at = {(i, j): k for k, (i, j) in enumerate(zip(ai, bi))}
-        rows = [row_at[p] for p in least_cost(grid) if p in row_at]
-        return pdf.iloc[rows]
+        sole = pdf["_sole"].to_numpy()
+        hard = np.where(~sole)[0]
+        h = pdf.iloc[hard]
+        l_code = h.groupby([*keys, left], sort=False).ngroup().to_numpy()
+        r_code = h.groupby([*keys, right], sort=False).ngroup().to_numpy()
+        got = hard[choose_edges(l_code, r_code, h[cost].to_numpy())]
+        return pdf.iloc[np.sort(np.concatenate([np.where(sole)[0], got]))][names]
 
-    solved = small_groups(hard, list(keys), pick, hard.schema)
-    return easy.unionByName(solved)
+    return small_groups(c, list(keys), pick, candidates.schema, together=True)
 
 
 def match_frames(truth: DataFrame, pred: DataFrame, keys, truth_id: str, pred_id: str, gate: float = 3.0,
@@ -107,46 +155,61 @@ def match_frames(truth: DataFrame, pred: DataFrame, keys, truth_id: str, pred_id
     return solve(near, keys, "truth_id", "pred_id", "cost").drop("cost")
 
 
-def claim_boxes(points: DataFrame, boxes: DataFrame, keys, pid: str, box: str, pad: float = 6.0) -> DataFrame:
+def claim_boxes(points: DataFrame, boxes: DataFrame, keys, pid: str, box: str, pad: float = 6.0, strip: float = 64.0) -> DataFrame:
     """Each projected player against the boxes of his frame: matched, duplicate or stray.
 
     A player inside a padded box may claim it; the nearest foot wins and one box serves one
     player. ``miss`` is the distance to the nearest box for a stray.
     """
-    j = points.join(boxes.select(*keys, box, "x1", "y1", "x2", "y2"), keys)
     px, py = F.col("px"), F.col("py")
-    j = j.withColumns({"inside": in_box(px, py, pad), "gap": box_gap(px, py),
-                       "foot": dist(px, py, (F.col("x1") + F.col("x2")) / 2, F.col("y2"))})
-    got = solve(j.filter("inside").select(*keys, pid, box, "foot"), keys, pid, box, "foot").select(*keys, pid, F.col(box).alias("claimed"))
-    seen = j.groupBy(*keys, pid).agg(F.max("inside").alias("any_inside"), F.min("gap").alias("gap"))
-    out = points.select(*keys, pid).join(seen, [*keys, pid], "left").join(got, [*keys, pid], "left")
+    b = boxes.select(*keys, box, "x1", "y1", "x2", "y2")
+    cover = F.sequence(F.floor((F.col("x1") - pad) / strip), F.floor((F.col("x2") + pad) / strip))
+    j = points.select(*keys, pid, "px", "py").withColumn("_s", F.floor(px / strip)).join(
+        b.withColumn("_s", F.explode(cover)), [*keys, "_s"]).filter(in_box(px, py, pad))
+    j = j.select(*keys, pid, box, dist(px, py, (F.col("x1") + F.col("x2")) / 2, F.col("y2")).alias("foot"))
+    got = solve(j, keys, pid, box, "foot").select(*keys, pid, F.col(box).alias("claimed"))
+    seen = j.select(*keys, pid).distinct().withColumn("any_inside", F.lit(True))
+    # Only players inside no box are measured against every box of the frame.
+    lost = points.select(*keys, pid, "px", "py").join(j.select(*keys, pid), [*keys, pid], "left_anti")
+    far = lost.join(b, keys).groupBy(*keys, pid).agg(F.min(box_gap(px, py)).alias("gap"))
+    out = points.select(*keys, pid).join(seen, [*keys, pid], "left").join(got, [*keys, pid], "left").join(far, [*keys, pid], "left")
     state = (F.when(F.col("claimed").isNotNull(), "matched").when(F.col("any_inside"), "duplicate").otherwise("stray"))
     return out.select(*keys, pid, "claimed", state.alias("state"), F.when(state == "stray", F.coalesce("gap", F.lit(0.0))).alias("miss"))
 
 
-def suppress_overlaps(boxes: DataFrame, keys, box: str, limit: float = 0.55) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, keys, box: str, limit: float = 0.55, strip: float = 64.0) -> DataFrame:
     """Greedy suppression by score: a box overlapping a kept, better one is dropped.
 
-    Boxes that overlap nothing are kept without leaving the JVM.
+    Boxes meet on strips of the picture they both reach; boxes that overlap nothing are kept
+    without leaving the JVM.
     """
-    a = boxes.select(*keys, F.col(box).alias("_a"), F.col("score").alias("_sa"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
-    b = boxes.select(*keys, F.col(box).alias("_b"), F.col("score").alias("_sb"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    ahead = (F.col("_sa") > F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("_a") < F.col("_b")))
-    over = a.join(b, keys).filter(ahead & (iou("a_", "b_") >= limit)).select(*keys, "_a", "_b", "_sa", "_sb")
+    def side(name: str) -> DataFrame:
+        c = boxes.select(*keys, F.col(box).alias(f"_{name}"), F.col("score").alias(f"_s{name}"),
+                         *[F.col(k).alias(f"{name}_{k}") for k in ("x1", "y1", "x2", "y2")])
+        return c.withColumn("_s", F.explode(F.sequence(F.floor(F.col(f"{name}_x1") / strip), F.floor(F.col(f"{name}_x2") / strip))))
 
-    named = over.select(*keys, F.col("_a").alias("better"), F.col("_b").alias("worse"), "_sa")
+    ahead = (F.col("_sa") > F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("_a") < F.col("_b")))
+    once = F.col("_s") == F.floor(F.greatest("a_x1", "b_x1") / strip)
+    over = side("a").join(side("b"), [*keys, "_s"]).filter(once & ahead & (iou("a_", "b_") >= limit))
+    over = over.select(*keys, F.col("_a").alias("better"), F.col("_b").alias("worse"))
 
     def drop(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        order = pdf.sort_values(["_sa", "better"], ascending=[False, True])
-        for better, worse in zip(order["better"], order["worse"]):
-            if better not in gone:
-                gone.add(worse)
-        head = {c: pdf[c].iloc[0] for c in keys}
-        return pd.DataFrame([{**head, box: g} for g in gone], columns=[*keys, box])
+        n = len(pdf)
+        both = pd.concat([pdf[[*keys, "better"]].set_axis([*keys, box], axis=1), pdf[[*keys, "worse"]].set_axis([*keys, box], axis=1)], ignore_index=True)
+        code = both.groupby([*keys, box], sort=False).ngroup().to_numpy()
+        up, down = code[:n], code[n:]
+        state = np.zeros(code.max() + 1, dtype=int)  # 0 open, 1 kept, -1 dropped
+        while (state == 0).any():
+            waits = np.zeros(len(state), dtype=bool)
+            waits[down[state[up] == 0]] = True
+            state[(state == 0) & ~waits] = 1
+            hit = down[state[up] == 1]
+            state[hit[state[hit] == 0]] = -1
+        gone = both.assign(_c=code).drop_duplicates("_c")
+        return gone[state[gone["_c"].to_numpy()] == -1][[*keys, box]]
 
     schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in (*keys, box))
-    lost = small_groups(named, list(keys), drop, schema)
+    lost = small_groups(over, list(keys), drop, schema, together=True)
     return boxes.join(lost, [*keys, box], "left_anti")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from snapspan.operators.trackers import ball_step, new_ball, new_clip, track_step
+from snapspan.operators.trackers import ball_step, new_ball, new_clip, plain, track_step
 from snapspan.plans.sequences import Span, islands, shift
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,6 +58,7 @@ class _KeyedJson(StatefulProcessor):
                 continue
             state["last"] = int(row["frame"])
             out.extend({"clip": key[0], "frame": int(row["frame"]), **g} for g in self.advance(state["s"], row))
+        state["s"] = plain(state["s"])
         self.memory.update((json.dumps(state),))
         if out:
             yield pd.DataFrame(out)
