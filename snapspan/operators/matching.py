@@ -57,8 +57,8 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flipped else pairs
 
 
-def linked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Connected component of every candidate edge; ends are numbered from 0 on each side."""
+def linked(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component label of every left and every right end; ends are numbered from 0 on each side."""
     at_left = np.arange(left.max() + 1)
     at_right = np.full(right.max() + 1, len(at_left))
     while True:
@@ -66,7 +66,7 @@ def linked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         before = at_left.copy()
         np.minimum.at(at_left, left, at_right[right])
         if np.array_equal(before, at_left):
-            return at_left[left]
+            return at_left, at_right
 
 
 def _small(c: np.ndarray) -> list[tuple[int, int]]:
@@ -81,27 +81,41 @@ def _small(c: np.ndarray) -> list[tuple[int, int]]:
 def choose_edges(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Positions of the edges in the cheapest one-to-one choice, as many edges as possible.
 
-    Components are independent. One with a single end on a side takes its cheapest edge for
-    all of them at once; the rest are solved one by one, and most are two by two.
+    Components are independent. Those with a single end on a side, and those two by two, are
+    decided for the whole batch at once; the rest are solved one by one.
     """
     if len(left) == 0:
         return np.zeros(0, dtype=int)
-    comp = linked(left, right)
+    at_left, at_right = linked(left, right)
+    comp = at_left[left]
     order = np.lexsort((cost, comp))
     comp, left, right, cost = comp[order], left[order], right[order], cost[order]
     starts = np.concatenate([[0], np.where(comp[1:] != comp[:-1])[0] + 1])
     ends = np.append(starts[1:], len(comp))
-    lo, hi = np.minimum.reduceat(left, starts), np.maximum.reduceat(left, starts)
-    ro, rh = np.minimum.reduceat(right, starts), np.maximum.reduceat(right, starts)
-    star = (lo == hi) | (ro == rh)
+    top = max(at_left.max(), at_right.max()) + 1
+    n_left, n_right = np.bincount(at_left, minlength=top)[comp[starts]], np.bincount(at_right, minlength=top)[comp[starts]]
+    star = (n_left == 1) | (n_right == 1)
+    square = (n_left == 2) & (n_right == 2)
     picked = [starts[star]]
-    for a, b in zip(starts[~star], ends[~star]):
-        ls, li = np.unique(left[a:b], return_inverse=True)
-        rs, ri = np.unique(right[a:b], return_inverse=True)
+    if square.any():
+        number = np.repeat(np.arange(len(starts)), ends - starts)
+        mine = np.where(square[number])[0]
+        at = np.cumsum(square)[number[mine]] - 1
+        up = (left[mine] == np.maximum.reduceat(left, starts)[number[mine]]).astype(int)
+        across = (right[mine] == np.maximum.reduceat(right, starts)[number[mine]]).astype(int)
+        grid = np.full((int(square.sum()), 2, 2), FAR)
+        grid[at, up, across] = cost[mine]
+        straight = grid[:, 0, 0] + grid[:, 1, 1] <= grid[:, 0, 1] + grid[:, 1, 0]
+        picked.append(mine[(up == across) == straight[at]])
+    rest = ~star & ~square
+    for a, b in zip(starts[rest], ends[rest]):
+        ls, rs = {}, {}
+        li = [ls.setdefault(v, len(ls)) for v in left[a:b].tolist()]
+        ri = [rs.setdefault(v, len(rs)) for v in right[a:b].tolist()]
         grid = np.full((len(ls), len(rs)), FAR)
         grid[li, ri] = cost[a:b]
         pairs = _small(grid) if max(grid.shape) <= 3 else least_cost(grid)
-        where = {(i, j): a + k for k, (i, j) in enumerate(zip(li.tolist(), ri.tolist()))}
+        where = {(i, j): a + k for k, (i, j) in enumerate(zip(li, ri))}
         picked.append(np.array([where[p] for p in pairs if p in where], dtype=int))
     return order[np.concatenate(picked)]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from snapspan.functions.angles import heading, turn_deg
 from snapspan.plans.folds import ordered_fold
-from snapspan.plans.sequences import Span, last_known, shift
+from snapspan.plans.sequences import Span, around, last_known, shift
 
 SLOW = 0.6
 MAX_TURN = 250.0
@@ -72,19 +72,7 @@ def smooth(df: DataFrame, sp: Span, cols: dict[str, str]) -> DataFrame:
     to source column. Each row needs its 6 neighbours on both sides and no more.
     """
     pack = F.struct(*[F.col(c) for c in cols.values()])
-    if sp.block is None:
-        w = sp.window()
-        df = df.withColumn("_p", pack)
-        df = df.withColumn("_back", F.collect_list("_p").over(w.rowsBetween(-6, -1)))
-        df = df.withColumn("_fore", F.collect_list("_p").over(w.rowsBetween(1, 6)))
-    else:
-        df = df.withColumn("_p", pack)
-        for k in range(1, 7):
-            df = shift(df, sp, {f"_b{k}": "_p"}, -k)
-            df = shift(df, sp, {f"_f{k}": "_p"}, k)
-        df = df.withColumn("_back", F.array_compact(F.array(*[f"_b{k}" for k in range(6, 0, -1)])))
-        df = df.withColumn("_fore", F.array_compact(F.array(*[f"_f{k}" for k in range(1, 7)])))
-        df = df.drop(*[f"_{s}{k}" for s in "bf" for k in range(1, 7)])
+    df = around(df.withColumn("_p", pack), sp, F.col("_p"), 6, "_back", "_fore")
     df = df.withColumn("_near", F.concat("_back", F.array("_p"), "_fore"))
     back, fore = F.size("_back"), F.size("_fore")
     n = back + fore + 1

@@ -70,14 +70,11 @@ def shift(df: DataFrame, sp: Span, cols: dict[str, str], step: int) -> DataFrame
         fn = F.lag if step < 0 else F.lead
         return df.withColumns({new: fn(old, abs(step)).over(w) for new, old in cols.items()})
     if abs(step) > 1:
-        unit = 1 if step > 0 else -1
-        cur = dict(cols)
-        for i in range(abs(step)):
-            last = i == abs(step) - 1
-            nxt = {(n if last else f"_s{i}_{n}"): o for n, o in cur.items()}
-            df = shift(df, sp, nxt, unit)
-            cur = {n: (f"_s{i}_{n}") for n in cols}
-        return df.drop(*[f"_s{i}_{n}" for i in range(abs(step) - 1) for n in cols])
+        pack = F.struct(*[F.col(o).alias(n) for n, o in cols.items()])
+        df = around(df, sp, pack, abs(step), "_back", "_fore")
+        side, n = ("_back", abs(step)) if step < 0 else ("_fore", abs(step))
+        at = F.when(F.size(side) >= n, F.element_at(side, F.lit(-n if step < 0 else n)))
+        return df.withColumns({c: at[c] for c in cols}).drop("_back", "_fore")
     pack = F.struct(*[F.col(o).alias(n) for n, o in cols.items()])
     df = df.withColumn(BLOCK, F.expr(sp.block)).withColumn("_pack", pack)
     keys = [*sp.keys, BLOCK]
@@ -93,6 +90,34 @@ def shift(df: DataFrame, sp: Span, cols: dict[str, str], step: int) -> DataFrame
     return df.withColumns({n: near[n] for n in cols}).drop(BLOCK, "_pack", "_in", "_edge")
 
 
+def around(df: DataFrame, sp: Span, value: Column, n: int, back: str, fore: str) -> DataFrame:
+    """The up to ``n`` values before and after each row, nearest last and nearest first.
+
+    Across blocks only the ``n`` outermost rows of a block travel, and ``n`` neighbouring blocks
+    are enough because every block has a row.
+    """
+    df = df.withColumn("_w", value)
+    keys = [*sp.keys] if sp.block is None else [*sp.keys, BLOCK]
+    if sp.block is not None:
+        df = df.withColumn(BLOCK, F.expr(sp.block))
+    inner = Window.partitionBy(*keys).orderBy(*sp.order)
+    df = df.withColumns({back: F.collect_list("_w").over(inner.rowsBetween(-n, -1)), fore: F.collect_list("_w").over(inner.rowsBetween(1, n))})
+    if sp.block is None:
+        return df.drop("_w")
+    across = Window.partitionBy(*sp.keys).orderBy(BLOCK)
+    slim = df.select(*keys, *[c for c in sp.order if c not in keys], "_w")
+
+    def rim(order, name: str, frame) -> DataFrame:
+        r = slim.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n)
+        own = r.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in sp.order], "_w"))).alias("_own"))
+        return own.select(*keys, F.transform(F.flatten(F.collect_list("_own").over(across.rowsBetween(*frame))), lambda e: e["_w"]).alias(name))
+
+    df = _attach(df, rim([F.desc(c) for c in sp.order], "_pre", (-n, -1)), keys, ["_pre"])
+    df = _attach(df, rim(list(sp.order), "_post", (1, n)), keys, ["_post"])
+    lead, tail = F.concat("_pre", back), F.concat(fore, "_post")
+    return df.withColumns({back: F.slice(lead, F.greatest(F.size(lead) - n + 1, F.lit(1)), n), fore: F.slice(tail, 1, n)}).drop("_w", "_pre", "_post", BLOCK)
+
+
 def running(df: DataFrame, sp: Span, value: Column, out: str, how: str = "sum") -> DataFrame:
     """Sum or maximum of ``value`` from the first row of the key up to and including this one."""
     fold = {"sum": F.sum, "max": F.max}[how]
