@@ -79,8 +79,11 @@ def game_summaries(plays: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def health(plays: DataFrame, reports: DataFrame) -> DataFrame:
-    p = plays.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("games"), F.sum("n").alias("plays"))
-    return p.crossJoin(reports.agg(F.count(F.lit(1)).alias("reports")))
+    """Games, plays and reports in one row."""
+    p = plays.groupBy("game_id").agg(F.count(F.lit(1)).alias("plays")).withColumns({"games": F.lit(1), "reports": F.lit(0)})
+    r = reports.agg(F.count(F.lit(1)).alias("reports")).withColumns({"games": F.lit(0), "plays": F.lit(0)})
+    both = p.select("games", "plays", "reports").unionByName(r)
+    return both.agg(*[F.sum(c).alias(c) for c in ("games", "plays", "reports")])
 
 
 def majority_game(rows: DataFrame) -> DataFrame:

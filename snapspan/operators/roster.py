@@ -234,8 +234,8 @@ def hold_out(rows: DataFrame, clip: str, share: float = 0.2) -> DataFrame:
     clips = rows.select(clip).distinct()
     n = clips.count()
     held = max(1, round(share * n)) if n else 0
-    last = clips.orderBy(F.desc(clip)).limit(held).agg(F.min(clip).alias("_cut"))
-    return rows.crossJoin(F.broadcast(last)).withColumn("split", F.when(F.col(clip) >= F.col("_cut"), "val").otherwise("train")).drop("_cut")
+    cut = clips.orderBy(F.desc(clip)).limit(held).agg(F.min(clip)).first()[0]
+    return rows.withColumn("split", F.when(F.col(clip) >= F.lit(cut), "val").otherwise("train"))
 
 
 def kit_clusters(colours: DataFrame, keys, k: int = 3, seed: int = 17) -> DataFrame:
