@@ -166,7 +166,8 @@ def calibrate(grammar: Grammar, rows: DataFrame, rounds: int = 50) -> tuple[floa
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (p - y)) + 0.3 * (w - prior)
-        w -= np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w)), slope)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w)), slope)
+        w -= step * min(1.0, 1.0 / np.abs(step).max(initial=1e-9))
     return tuple(map(float, w))
 
 
