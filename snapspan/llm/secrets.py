@@ -145,3 +145,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"),
         count("signed").alias("n_signed"))
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """`redact_secrets` over ``text``, with ``n_chars`` set anew where there is such a column; null text counts 0."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else clean
