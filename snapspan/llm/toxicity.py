@@ -145,7 +145,7 @@ def learn_arcs(rows: DataFrame, most: int = 4000) -> dict[str, float]:
     sure = F.col("t") * F.log(F.col("t") / (n * share)) + F.col("c") * F.log(F.greatest("c", F.lit(0.5)) / (n * (1 - share)))
     ratio = F.log((F.col("t") + 0.5) / (T + 1)) - F.log((F.col("c") + 0.5) / (C + 1))
     kept = (counts.filter("t >= 3").select("form", sure.alias("sure"), ratio.alias("ratio"))
-            .filter((F.col("sure") >= math.log(20 * (T + C)) + 2) & (F.col("ratio") >= 2.0)).orderBy(F.desc("sure"), "form").limit(most).collect())
+            .filter((F.col("sure") >= math.log(20 * (T + C)) + 2) & (F.col("ratio") >= 3.5)).orderBy(F.desc("sure"), "form").limit(most).collect())
     return {r["form"]: min(r["ratio"], 6.0) for r in kept}
 
 
