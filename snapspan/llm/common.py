@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample_texts(docs: DataFrame, text: str, most: int) -> DataFrame:
+    """(h, text): the ``most`` distinct texts with the least hashes, or all, where they lie: only their hashes reach the driver."""
+    h = F.xxhash64(F.col(text))
+    least = docs.select(h.alias("h")).distinct().orderBy("h").limit(most).collect()
+    bound = max((r["h"] for r in least), default=0)
+    return docs.select(h.alias("h"), F.col(text).alias("text")).filter(F.col("h") <= bound).dropDuplicates(["h"])
+
+
 def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array, and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

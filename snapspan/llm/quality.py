@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
 
 from snapspan.llm import rolling
-from snapspan.llm.common import slices, utf8_views
+from snapspan.llm.common import sample_texts, slices, utf8_views
 
 DIM = 1024
 #: Symbols that prose seldom has.
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 4000) -> tuple[dict[s
     pattern = F.pandas_udf(_patterns, StringType())(text)
     counts = docs.select(pattern.alias("pattern")).groupBy("pattern").count().collect()
     posterior = label_model(sorted((r["pattern"], r["count"]) for r in counts))
-    rows = (docs.select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(sample)
+    rows = (sample_texts(docs, text, sample)
             .select(F.pandas_udf(_patterns, StringType())("text").alias("p"), F.pandas_udf(_vectors, BinaryType())("text").alias("x")).collect())
     rows = [r for r in rows if set(r["p"]) != {"2"}]
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, DIM)

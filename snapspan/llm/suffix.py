@@ -217,7 +217,7 @@ def _sort_contexts(batches):
 def _cut(text: bytes, stretches) -> tuple[bytes, int]:
     """What is left of a text, and the number of maximal stretches."""
     out, at, n, until = [], 0, 0, -1
-    for a, b in sorted((s["low"], s["high"]) for s in stretches or ()):
+    for a, b in sorted((s["low"], s["high"]) for s in (() if stretches is None else stretches)):
         if a > until:
             out.append(text[at:a])
             n += 1
