@@ -42,6 +42,8 @@ CLAUSE, WORD = re.compile(r"[.!?;:\n]+"), re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 #: What standing beside a target, under negation and in reported speech make of a weight.
 BESIDE_TARGET, NEGATED, REPORTED = 1.25, 0.35, 0.5
 REACH = 3
+#: An arc may occur in so many clean documents for each toxic one.
+SLIPS = 0.07
 FEATURES = 4
 
 
@@ -144,8 +146,8 @@ def learn_arcs(rows: DataFrame, most: int = 4000) -> dict[str, float]:
     n = F.col("t") + F.col("c")
     sure = F.col("t") * F.log(F.col("t") / (n * share)) + F.col("c") * F.log(F.greatest("c", F.lit(0.5)) / (n * (1 - share)))
     ratio = F.log((F.col("t") + 0.5) / (T + 1)) - F.log((F.col("c") + 0.5) / (C + 1))
-    kept = (counts.filter("t >= 3").select("form", sure.alias("sure"), ratio.alias("ratio"))
-            .filter((F.col("sure") >= math.log(20 * (T + C)) + 2) & (F.col("ratio") >= 3.5)).orderBy(F.desc("sure"), "form").limit(most).collect())
+    kept = (counts.filter(f"t >= 3 and c <= {SLIPS} * t").select("form", sure.alias("sure"), ratio.alias("ratio"))
+            .filter((F.col("sure") >= math.log(20 * (T + C)) + 2) & (F.col("ratio") >= 3.0)).orderBy(F.desc("sure"), "form").limit(most).collect())
     return {r["form"]: min(r["ratio"], 6.0) for r in kept}
 
 
