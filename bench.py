@@ -40,8 +40,6 @@ def main() -> None:
     t0 = time.time()
     tables = Tables(spark, sf)
     tables.trk.limit(1).count()
-    for name in ("player_span", "play_span", "game_span"):
-        getattr(tables, name)()
     times["tracking_table"] = round(time.time() - t0, 3)
     for name in picked:
         t0 = time.time()

@@ -278,8 +278,8 @@ def _(t: Tables):
   SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) a) z GROUP BY user_id, s""")
 def _(t: Tables):
     e = t.raw("events").select("user_id", "ts", "event_id")
-    sp = t._span("user", lambda: e, ["user_id"], ["ts", "event_id"], "unix_date(cast(ts as date))")
-    return live.sessions(e, ["user_id"], "ts", 1800, "event_id", sp.block).select(
+    # a user may have very many events, so the sequence is cut by the hour
+    return live.sessions(e, ["user_id"], "ts", 1800, "event_id", "date_trunc('hour', ts)").select(
         "user_id", *[F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz")).alias(c) for c in ("start", "last")], "n")
 
 

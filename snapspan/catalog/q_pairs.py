@@ -104,7 +104,7 @@ def _(t: Tables):
  GROUP BY ALL""", "ball")
 def _(t: Tables):
     p = t.ball.filter("frame_id % 3 > 0").select(*PLAY, (F.col("t") + 0.03).alias("pt"), F.col("x").alias("px"))
-    out = nearest_in_time(t.ball.select(*FRAME, "t"), p, PLAY, "t", "pt", 0.05, ["px"], prefix="")
+    out = nearest_in_time(t.ball.select(*FRAME, "t"), p, PLAY, "t", "pt", 0.05, ["px"], prefix="").filter("px IS NOT NULL")
     return out.select(*FRAME, F.round("px", 6).alias("px"))
 
 

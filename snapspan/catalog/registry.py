@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from snapspan.catalog import fixture
 from snapspan.functions.geometry import face_right
 from snapspan.functions.angles import wrap_deg
-from snapspan.plans.sequences import Span, sized_span
+from snapspan.plans.sequences import Span, span
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_SPANS: dict[tuple, Span] = {}
-
 
 class Tables:
     """The derived tables of one data folder."""
@@ -58,22 +56,16 @@ class Tables:
         return pass_windows(self.trk)
 
     def player_span(self) -> Span:
-        return self._span("player", lambda: self.trk, ["game_id", "play_id", "nfl_id"], "frame_id",
-                          "floor(frame_id / 4096)")
+        """A player's frames of one play: few by nature."""
+        return span(["game_id", "play_id", "nfl_id"], "frame_id")
 
     def play_span(self) -> Span:
-        return self._span("play", lambda: self.ball, ["game_id", "play_id"], "frame_id",
-                          "floor(frame_id / 4096)")
+        """The frames of one play: few by nature."""
+        return span(["game_id", "play_id"], "frame_id")
 
     def game_span(self) -> Span:
-        return self._span("game", lambda: self.plays, ["game_id"], "play_id", "floor(play_id / 4096)")
-
-    def _span(self, name: str, frame, keys, order, block) -> Span:
-        """Measured once per data folder; blocks are used when the biggest group is large."""
-        at = (name, self.sf_dir)
-        if at not in _SPANS:
-            _SPANS[at] = sized_span(frame(), keys, order, block)
-        return _SPANS[at]
+        """The plays of a game, in blocks."""
+        return span(["game_id"], "play_id", "floor(play_id / 64)")
 
 
 def query(name: str, sql: str | None = None, *bases: str):

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from snapspan.plans.session import cut_lineage
 from snapspan.schema import FORECAST_FEATURES
 
-MAX_FOLDS = 400
-
 
 def fit(samples: DataFrame, rounds: int = 300, step: float = 0.08, depth: int = 5, seed: int = 17) -> PipelineModel:
     """One boosted regressor for each axis of the displacement, trained on the rows with a label."""
@@ -36,18 +34,17 @@ def predict(model: PipelineModel, samples: DataFrame) -> DataFrame:
     return out.withColumns({"px": F.col("x") + F.col("mx"), "py": F.col("y") + F.col("my")}).drop("features", "mx", "my")
 
 
-def cross_fit(samples: DataFrame, rounds: int = 300, **kw) -> DataFrame:
-    """Every row predicted by a model that never saw its week (or its game, with one week)."""
+def cross_fit(samples: DataFrame, rounds: int = 300, fold: str | None = None, **kw) -> DataFrame:
+    """Every row predicted by a model that never saw its fold.
+
+    ``fold`` names the column of the folds; by default the week, or the game where there is one week only.
+    """
     # Every fold trains on most of the rows, so they are written once instead of derived per fold.
     samples = cut_lineage(samples)
-    weeks = [r[0] for r in samples.select("week").distinct().orderBy("week").limit(MAX_FOLDS + 1).collect()]
-    column, folds = ("week", weeks) if len(weeks) > 1 else ("game_id", None)
-    if folds is None:
-        folds = [r[0] for r in samples.select(column).distinct().orderBy(column).limit(MAX_FOLDS + 1).collect()]
+    column = fold or ("week" if samples.select("week").distinct().limit(2).count() > 1 else "game_id")
+    folds = [r[0] for r in samples.select(column).distinct().orderBy(column).collect()]
     if len(folds) < 2:
         raise ValueError("need at least two weeks or games to hold one out")
-    if len(folds) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} folds: group the games first")
     parts = []
     for f in folds:
         model = fit(samples.filter(F.col(column) != f), rounds, **kw)

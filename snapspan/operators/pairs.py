@@ -124,7 +124,7 @@ def duplicate_pairs(samples: DataFrame, pid: str, team: str, yards: float, share
 
 
 def first_containing_box(points: DataFrame, boxes: DataFrame, keys, box_id: str, px: Column, py: Column) -> DataFrame:
-    """The lowest-numbered box that holds each point."""
+    """The lowest-numbered box that holds each point; a point in no box is left out, a repeated point stays repeated."""
     inside = px.between(F.col("x1"), F.col("x2")) & py.between(F.col("y1"), F.col("y2"))
-    j = points.join(boxes.select(*keys, box_id, "x1", "y1", "x2", "y2"), keys).filter(inside)
-    return j.groupBy(*points.columns).agg(F.min(box_id).alias(box_id))
+    j = points.withColumn("_lid", F.monotonically_increasing_id()).join(boxes.select(*keys, box_id, "x1", "y1", "x2", "y2"), keys).filter(inside)
+    return j.groupBy("_lid", *points.columns).agg(F.min(box_id).alias(box_id)).drop("_lid")

@@ -1,32 +1,21 @@
-"""Size-checked broadcasts and tolerance joins that stay equi-keyed."""
+"""Tolerance and interval joins that stay equi-keyed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def dimension(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count stopped at ``limit`` + 1 rows proves it small.
-
-    Past the limit the frame is returned as it is and Spark shuffles the join.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t_left: str, t_right: str,
-                    tol: float, carry: list[str], prefix: str = "r_", first_wins: str | None = None,
-                    inclusive: bool = True) -> DataFrame:
-    """For each left row the right row of the same keys nearest in time within ``tol``.
+                    tol: float, carry: list[str], prefix: str = "r_", inclusive: bool = True) -> DataFrame:
+    """Each left row with the right row of the same keys nearest in time within ``tol``, or nulls.
 
-    The right side is put on buckets one tolerance wide and repeated into the two
-    neighbouring buckets, so the join is an equi join on (keys, bucket). Each left row
-    meets only rows inside three buckets, never the whole sequence of its key.
+    Every left row comes back once, repeated rows too. Equal distances go to the earlier right row. The right side is put on
+    buckets one tolerance wide and repeated into the two neighbouring buckets, so the join is
+    an equi join on (keys, bucket) and no row meets the whole sequence of its key.
     """
     width = tol if tol > 0 else 1.0
-    a = left.withColumn("_b", F.floor(F.col(t_left) / width)).withColumn("_lid", F.struct(*left.columns))
+    a = left.withColumn("_b", F.floor(F.col(t_left) / width)).withColumn("_lid", F.monotonically_increasing_id())
     b = right.select(
         *[F.col(k).alias(f"_{k}") for k in keys], F.col(t_right).alias("_t"),
         F.struct(*[F.col(c) for c in carry]).alias("_carry"),
@@ -36,15 +25,14 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t_left:
     cond = (F.col("_b") == F.col("_rb")) & ((gap <= tol) if inclusive else (gap < tol))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = a.join(b, cond, "inner")
-    order = F.struct(gap, F.col("_t"))
-    best = joined.groupBy(*left.columns).agg(F.min_by("_carry", order).alias("_best"))
+    joined = a.join(b, cond, "left")
+    best = joined.groupBy("_lid", *left.columns).agg(F.min_by("_carry", F.struct(gap, F.col("_t"))).alias("_best"))
     return best.select(*left.columns, *[F.col(f"_best.{c}").alias(f"{prefix}{c}") for c in carry])
 
 
 def in_interval(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str,
                 carry: list[str], width: int, how_first: str) -> DataFrame:
-    """Interval lookup closed at both ends, first interval (by ``how_first``) wins.
+    """Interval lookup closed at both ends, first interval (by ``how_first``) wins; every row comes back once.
 
     Intervals are laid on buckets ``width`` wide, so the join is equi-keyed on
     (keys, bucket). An interval is repeated once per bucket it covers.
@@ -53,12 +41,11 @@ def in_interval(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, sta
         *[F.col(k).alias(f"_{k}") for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"),
         F.struct(F.col(how_first).alias("_first"), *[F.col(c) for c in carry]).alias("_carry"),
         F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_rb"))
-    a = rows.withColumn("_b", F.floor(F.col(at) / width))
+    a = rows.withColumn("_b", F.floor(F.col(at) / width)).withColumn("_lid", F.monotonically_increasing_id())
     cond = (F.col("_b") == F.col("_rb")) & F.col(at).between(F.col("_s"), F.col("_e"))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    hit = a.join(b, cond, "left")
-    best = hit.groupBy(*rows.columns).agg(F.min("_carry").alias("_best"))
+    best = a.join(b, cond, "left").groupBy("_lid", *rows.columns).agg(F.min("_carry").alias("_best"))
     return best.select(*rows.columns, *[F.col(f"_best.{c}").alias(c) for c in carry])
 
 

@@ -6,6 +6,9 @@ along the order, such as ``floor(frame_id / 4096)``) every operation runs in two
 inside (keys, block) in parallel, then over one small edge row per block, and the edge
 value is joined back. A key that holds a third of all rows is then spread over as many
 tasks as it has blocks, and the result is the same row for row.
+
+Which form is used is the caller's statement about the key, never a count: the frames of one player in
+one play are few by nature, the rows of a user or a game are not and get a block.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
-LARGE_GROUP = 200_000
 
 
 @dataclass(frozen=True)
@@ -38,17 +40,6 @@ def span(keys, order, block: str | None = None) -> Span:
     return Span(tuple(keys), order, block)
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows in the biggest group: one map-side combined count, one number to the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def sized_span(df: DataFrame, keys, order, block: str, limit: int = LARGE_GROUP) -> Span:
-    """Plain windows when the biggest group is proven small, blocks otherwise."""
-    return span(keys, order, None if largest_group(df, keys) <= limit else block)
-
-
 def _same(left: DataFrame, right: DataFrame, keys) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 

@@ -23,9 +23,11 @@ def local_session(cpus: int | str = "*", app: str = "snapspan", shuffle: int = 8
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset a local session gets a scratch folder, a cluster is refused."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)

@@ -55,11 +55,6 @@ def test_blocked_smoothing_and_kinematics(series, size):
     same(run(plain), run(cut), ["sx", "vx", "speed", "accel", "step", "travel"])
 
 
-def test_sized_span_switches_on_the_biggest_group(series):
-    assert sq.sized_span(series, ["k"], "f", "floor(f / 8)", limit=60).block is None
-    assert sq.sized_span(series, ["k"], "f", "floor(f / 8)", limit=59).block is not None
-
-
 def test_global_rank_with_a_hot_value(rows):
     rng = random.Random(1)
     data = [(i, 5.0 if rng.random() < 0.5 else round(rng.uniform(0, 10), 1)) for i in range(500)]
