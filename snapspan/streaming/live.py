@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from snapspan.operators.trackers import ball_step, new_ball, new_clip, plain, track_step
+from snapspan.operators.trackers import ball_candidates, ball_step, new_ball, new_clip, plain, track_step
 from snapspan.plans.sequences import Span, islands, shift
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,7 +34,10 @@ def live_sessions(stream: DataFrame, keys: list[str], ts: str, gap: str, waterma
 
 
 class _KeyedJson(StatefulProcessor):
-    """One JSON state per key. Frames of a batch are put in order; a frame not after the last is late and dropped."""
+    """One JSON state per key. Frames of a batch are put in order; a frame not after the last is late and dropped.
+
+    A row with a negative frame says that the clip is finished: its state goes, and later rows start anew.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.memory = handle.getValueState("memory", StructType([StructField("value", StringType())]))
@@ -51,7 +54,8 @@ class _KeyedJson(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = json.loads(self.memory.get()[0]) if self.memory.exists() else {"last": None, "s": self.fresh()}
         # A key's rows of one micro-batch; the batch size is bounded by the source's options.
-        got = pd.concat(list(rows)).sort_values("frame")
+        got = pd.concat(list(rows))
+        ended, got = (got["frame"] < 0).any(), got[got["frame"] >= 0].sort_values("frame")
         out = []
         for row in got.to_dict("records"):
             if state["last"] is not None and row["frame"] <= state["last"]:
@@ -59,7 +63,10 @@ class _KeyedJson(StatefulProcessor):
             state["last"] = int(row["frame"])
             out.extend({"clip": key[0], "frame": int(row["frame"]), **g} for g in self.advance(state["s"], row))
         state["s"] = plain(state["s"])
-        self.memory.update((json.dumps(state),))
+        if ended:
+            self.memory.clear()
+        else:
+            self.memory.update((json.dumps(state),))
         if out:
             yield pd.DataFrame(out)
 
@@ -69,11 +76,16 @@ def _points(v) -> list[dict]:
 
 
 class PlayerTracker(_KeyedJson):
+    """A track is told from its ``min_hits``-th sighting on."""
+
+    def __init__(self, min_hits: int = 3):
+        self.min_hits = min_hits
+
     def fresh(self) -> dict:
         return new_clip()
 
     def advance(self, state: dict, row: dict) -> list[dict]:
-        return track_step(state, int(row["frame"]), _points(row["points"]))
+        return [g for g in track_step(state, int(row["frame"]), _points(row["points"])) if g["hits"] >= self.min_hits]
 
 
 class BallTracker(_KeyedJson):
@@ -81,7 +93,7 @@ class BallTracker(_KeyedJson):
         return new_ball()
 
     def advance(self, state: dict, row: dict) -> list[dict]:
-        return [ball_step(state, _points(row["cand"]), _points(row["men"]))]
+        return [ball_step(state, int(row["frame"]), _points(row["cand"]))]
 
 
 class CutFinder(_KeyedJson):
@@ -105,14 +117,14 @@ def _keyed(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: s
     return stream.groupBy("clip").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
 
 
-def live_players(frames: DataFrame) -> DataFrame:
-    """``frames``: clip, frame, points (one row per frame)."""
-    return _keyed(frames, PlayerTracker(), "clip bigint, frame bigint, track bigint, x double, y double, hits bigint, team string")
+def live_players(frames: DataFrame, min_hits: int = 3) -> DataFrame:
+    """``frames``: clip, frame, points (one row per frame). Rows of confirmed tracks, from the confirming sighting on."""
+    return _keyed(frames, PlayerTracker(min_hits), "clip bigint, frame bigint, track bigint, x double, y double, hits bigint, team string")
 
 
 def live_balls(frames: DataFrame) -> DataFrame:
     """``frames``: clip, frame, cand, men (one row per frame)."""
-    return _keyed(frames, BallTracker(), "clip bigint, frame bigint, x double, y double, source string, confidence double")
+    return _keyed(frames.withColumn("cand", ball_candidates("cand", "men")).drop("men"), BallTracker(), "clip bigint, frame bigint, x double, y double, source string, confidence double")
 
 
 def live_cuts(frames: DataFrame) -> DataFrame:
