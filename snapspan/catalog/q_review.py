@@ -44,7 +44,8 @@ add_base("reports", f"""WITH p AS (SELECT *, x + cv_dx AS px, y + cv_dy AS py FR
 
 def routes(t: Tables):
     """Route and target flags of the offense, from its positions."""
-    return t.men.filter("club = 'HOM' AND frame_id = 12").select(
+    at_throw = t.men.join(t.win.select(*PLAY, "throw"), PLAY).filter("club = 'HOM' AND frame_id = throw")
+    return at_throw.select(
         *PLAY, "nfl_id", F.col("position").isin("RB", "TE", "WR").cast("int").alias("route"),
         (F.col("nfl_id") == (F.col("play_id") + 3) % 11).cast("int").alias("target"))
 

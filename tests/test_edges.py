@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapspan.operators import plugins, shots as sh
-from snapspan.plans.joins import dimension
+from snapspan.plans.joins import in_interval, nearest_in_time
 from snapspan.sources import readers as rd, writers as wr
 from snapspan.streaming import live
 
@@ -82,6 +82,39 @@ def test_detector_plug_in_names_unknown_kinds(spark):
     assert got == {1: None, 2: "unknown box kind foot"}
 
 
-def test_dimension_is_broadcast_only_when_small(spark):
-    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString() or "broadcast" in d._jdf.queryExecution().analyzed().toString()
-    assert hinted(dimension(spark.range(5), 10)) and not hinted(dimension(spark.range(50), 10))
+def test_tolerance_join_keeps_every_left_row(spark):
+    left = spark.createDataFrame([("c", 0.0), ("c", 0.0), ("c", 5.0), ("c", None), (None, 1.0)], "k string, t double")
+    right = spark.createDataFrame([("c", 0.04, 1), ("c", -0.04, 2), (None, 1.0, 3)], "k string, u double, v int")
+    got = sorted(((r["k"], r["t"], r["r_v"]) for r in nearest_in_time(left, right, ["k"], "t", "u", 0.05, ["v"]).collect()), key=str)
+    assert got == sorted([("c", 0.0, 2), ("c", 0.0, 2), ("c", 5.0, None), ("c", None, None), (None, 1.0, 3)], key=str)
+
+
+def test_interval_lookup_keeps_repeated_rows(spark):
+    rows = spark.createDataFrame([("c", 3), ("c", 3), ("c", 99)], "k string, f int")
+    spans = spark.createDataFrame([("c", 1, 4, "a", 1), ("c", 2, 40, "b", 2)], "k string, s int, e int, phase string, o int")
+    got = sorted(((r["f"], r["phase"]) for r in in_interval(rows, spans, ["k"], "f", "s", "e", ["phase"], 16, "o").collect()), key=str)
+    assert got == [(3, "a"), (3, "a"), (99, None)]
+
+
+def test_release_rows_become_a_track(rows):
+    """The caller's direction wins, missing columns are said, and plays without players or direction are refused."""
+    from snapspan.operators.tracks import release_to_track
+    from snapspan.plans.sequences import span
+
+    schema = ("game_id long, play_id long, frame_id int, nfl_id long, club string, position string, jersey int, x double, y double, s double, a double, dir double, o double, "
+              "play_direction string, event string")
+    data = [(1, 7, f, 99, "HOM", "WR", 9, 20.0 + f, 10.0, 3.0 + f, None, 36.87, None, "right", "ball_snap" if f == 3 else None) for f in range(1, 6)]
+    data += [(1, 7, f, None, "ball", None, None, 30.0, 20.0, None, None, None, None, "right", None) for f in range(1, 6)]
+    data += [(1, 8, 1, None, "ball", None, None, 30.0, 20.0, None, None, None, None, "right", None), (1, 9, 1, 99, "HOM", "WR", 9, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, None, None)]
+    sp = span(["game_id", "play_id", "nfl_id"], "frame_id")
+    got = release_to_track(rows(data, schema), sp)
+    assert {(r["play_id"], r["problem"]) for r in got["problems"].collect()} == {(8, "no player rows"), (9, "no play direction")}
+    meta = got["meta"].collect()
+    assert len(meta) == 1 and (meta[0]["orientation_measured"], meta[0]["acceleration_measured"], meta[0]["snap"]) == (False, False, 3)
+    right = {r["frame_id"]: r for r in got["samples"].collect()}
+    assert right[3]["t"] == 0.0 and right[3]["dir"] == pytest.approx(53.13) and right[3]["o_source"] == "from_dir" and right[3]["a"] == pytest.approx(10.0)
+    assert got["ball"].count() == 5 and [r["events"] for r in got["events"].collect()] == [["ball_snap"]]
+    told = release_to_track(rows(data, schema), sp, rows([(1, 7, "left")], "game_id long, play_id long, direction string"))
+    left = {r["frame_id"]: r for r in told["samples"].filter("play_id = 7").collect()}
+    assert left[3]["x"] == pytest.approx(120.0 - right[3]["x"]) and left[3]["y"] == pytest.approx(53.3 - right[3]["y"]) and left[3]["dir"] == pytest.approx(233.13)
+    assert told["meta"].filter("play_id = 7").first()["play_direction_source"] == "caller"
