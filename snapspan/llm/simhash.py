@@ -45,12 +45,18 @@ def masks() -> list[int]:
     return [_signed(sum(c)) for c in combinations(blocks, len(BLOCKS) - RADIUS)]
 
 
-def terms(text: Column) -> Column:
-    """array<struct<h, w>>: hash and weight of each pair of neighbouring words."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    after = lambda w, i: F.get(w, i + 1)
-    return F.transform(words, lambda x, i: F.struct(
-        F.xxhash64(x, after(words, i)).alias("h"), (F.length(x) + F.coalesce(F.length(after(words, i)), F.lit(0))).cast("long").alias("w")))
+def words(text: Column | str) -> Column:
+    """The words of a text in lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+
+
+def terms(words: str) -> Column:
+    """array<struct<h, w>>: hash and weight of each pair of neighbouring words of a column of words.
+
+    The words are a column of their own, so that they are split once a row and not once a word.
+    """
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.zip_with(words, after, lambda x, y: F.struct(F.xxhash64(x, y).alias("h"), (F.length(x) + F.coalesce(F.length(y), F.lit(0))).cast("long").alias("w")))
 
 
 def votes(h: str = "h", w: str = "w") -> list[Column]:
@@ -106,7 +112,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sides = both.select("id", "code", "n", "next_id", "next_code", F.sha2("edited", 256).alias("edited_sha256"),
                         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"))
     keys = ["id", "code", "n", "next_id", "next_code", "edited_sha256"]
-    one = sides.select(*keys, "s.side", F.inline_outer(terms(F.col("s.t")))).groupBy(*keys, "side").agg(*votes()).select(*keys, "side", fingerprint().alias("f"))
+    one = sides.select(*keys, "s.side", words(F.col("s.t")).alias("words")).select(*keys, "side", F.inline_outer(terms("words"))).groupBy(*keys, "side").agg(*votes()).select(*keys, "side", fingerprint().alias("f"))
     return one.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("edited"))
 
 

@@ -103,12 +103,30 @@ def test_near_copies_through_a_hub(spark):
     assert got == {i: c for i, (_, c) in plain_components(rows).items()} and set(got.values()) == {0}
 
 
+def test_hot_keys_are_compared_in_blocks(spark, monkeypatch):
+    """Many variants of one text of which few are links: the same with one block and with many."""
+    rng = random.Random(4)
+    original = [word(rng) + str(i) for i in range(170)]
+    rows = []
+    for k in range(80):
+        words = list(original)
+        for at in rng.sample(range(170), rng.randint(2, 12)):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k * 3, " ".join(words)))
+    want = {i: c for i, (_, c) in plain_components(rows).items()}
+    assert 1 < len(set(want.values())) < 80
+    for block in (400, 7):
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert {r["doc_id"]: r["component_id"] for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_registers_estimate_likeness():
     rng = np.random.default_rng(1)
     both, left, right = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (8000, 1000, 1000))
     a, b = np.sort(np.concatenate((both, left))), np.sort(np.concatenate((both, right)))
     regs = near.registers(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), 2)
-    assert abs(near.estimate(regs[0], regs[1]) - 0.8) < 0.15 and near.estimate(regs[0], regs[0]) == 1.0
+    assert abs(near.estimate(regs[0], regs[1:])[0][0] - 0.8) < 0.1 and near.estimate(regs[0], regs[:1])[0][0] == 1.0
+    assert near.may_link(regs[0], regs[:1], len(a), np.array([len(a)]))[0]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -171,7 +189,7 @@ def test_suffix_dedup_edges(spark):
 
 def plain_fingerprint(spark, texts):
     """Votes counted one by one, with Spark's own term hashes."""
-    terms = spark.createDataFrame([(i, t or "") for i, t in texts], "id long, text string").select("id", simhash.terms("text").alias("t")).collect()
+    terms = spark.createDataFrame([(i, t or "") for i, t in texts], "id long, text string").select("id", simhash.words("text").alias("w")).select("id", simhash.terms("w").alias("t")).collect()
     out = {}
     for r in terms:
         bits = 0
