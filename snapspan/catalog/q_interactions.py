@@ -51,9 +51,9 @@ def held(t: Tables):
     return ia.holders(t.men, t.ball)
 
 
-def everything(t: Tables, sides=None):
+def everything(t: Tables, sides=None, wanted=None):
     m = t.men.withColumn("o_source", facing(F.col("o"), F.col("dir"))[1])
-    return derive(m, t.ball, t.play_span(), t.player_span(), sides)
+    return derive(m, t.ball, t.play_span(), t.player_span(), sides, wanted)
 
 
 def contacts(t: Tables):
@@ -136,4 +136,4 @@ def _(t: Tables):
 @query("play_notes")
 def _(t: Tables):
     sides = t.plays.select(*PLAY, F.lit("HOM").alias("offense"), F.lit("ball_at_snap").alias("method"), F.when(F.col("play_id") % 2 == 0, 0.812).otherwise(0.987).alias("confidence"))
-    return everything(t, sides)["notes"].select(*PLAY, F.array_join("notes", "|").alias("notes"))
+    return everything(t, sides, {"notes"})["notes"].select(*PLAY, F.array_join("notes", "|").alias("notes"))

@@ -102,10 +102,9 @@ def _(t: Tables):
     return r.groupBy(*PLAY).agg(F.count_if("is_ball").alias("balls"), F.round(F.sum("x"), 4).alias("sx"), F.count_if(F.col("o_source") == "from_dir").alias("from_dir"))
 
 
-@query("model_answers", "SELECT game_id, play_id, round(t + 0.4 - 0.4, 3) AS t, CAST(nfl_id AS VARCHAR) AS player_id, x, y FROM men WHERE frame_id % 8 = 0", "men")
+@query("model_answers", "SELECT game_id, play_id, round(t + 0.4 - 0.4, 3) AS t, CAST(nfl_id AS VARCHAR) AS player_id, x, y FROM men", "men")
 def _(t: Tables):
-    m = t.men.filter("frame_id % 8 = 0")
-    f = m.groupBy(*PLAY, (F.col("t") + 0.4).alias("t")).agg(F.collect_list(F.struct(F.col("nfl_id").cast("string").alias("player_id"), F.col("club").alias("team"), "x", "y")).alias("players"))
+    f = t.men.groupBy(*PLAY, (F.col("t") + 0.4).alias("t")).agg(F.collect_list(F.struct(F.col("nfl_id").cast("string").alias("player_id"), F.col("club").alias("team"), "x", "y")).alias("players"))
     d = f.groupBy(*PLAY).agg(F.to_json(F.struct(F.collect_list(F.struct("t", "players")).alias("frames"))).alias("value"))
     return rd.model_answers(d.withColumn("snap_offset", F.lit(0.4))).select(*PLAY, "t", "player_id", "x", "y")
 

@@ -152,9 +152,9 @@ def _(t: Tables):
     return ql.registration_verdict(p).join(ql.corners_fold(matrices(t), PLAY), PLAY).select(*PLAY, "trustworthy", "finite", "convex")
 
 
-@query("effective_rate", "SELECT game_id, play_id, count(*) AS n, round((count(*) - 1) / (max(t) - min(t)), 5) AS rate FROM ball WHERE frame_id % 3 = 0 GROUP BY ALL", "ball")
+@query("effective_rate", "SELECT game_id, play_id, count(*) AS n, round((count(*) - 1) / (max(t) - min(t)), 5) AS rate FROM ball GROUP BY ALL", "ball")
 def _(t: Tables):
-    r = ql.effective_rate(t.ball.filter("frame_id % 3 = 0"), PLAY)
+    r = ql.effective_rate(t.ball, PLAY)
     return r.withColumn("rate", F.round("rate", 5))
 
 
@@ -262,10 +262,14 @@ def _(t: Tables):
     return rs.stitch(rs.track_ends(fragments(t), "piece"), "piece")
 
 
-@query("sideline_furniture", """SELECT game_id, play_id, nfl_id FROM (SELECT game_id, play_id, nfl_id, max(x) - min(x) AS w, max(y) - min(y) AS h, min(y) AS lo, max(y) AS hi FROM men WHERE frame_id <= 5 GROUP BY ALL) z
-  WHERE sqrt(w * w + h * h) <= 1 AND least(lo, 53.3 - hi) <= 7""", "men")
+@query("sideline_furniture", """SELECT game_id, play_id, nfl_id FROM (SELECT game_id, play_id, nfl_id, max(x) - min(x) AS w, max(y) - min(y) AS h, min(y) AS lo, max(y) AS hi, count(*) AS n
+   FROM (SELECT game_id, play_id, nfl_id, x, y FROM men UNION ALL SELECT game_id, play_id, 900, 40, 0.5 + (play_id % 7) * 0.5 + f / 100 FROM plays, range(12) r(f)) z GROUP BY ALL) z
+  WHERE n >= 2 AND sqrt(w * w + h * h) <= 1 AND least(lo, 53.3 - hi) <= 2""", "men", "plays")
 def _(t: Tables):
-    return rs.static_furniture(t.men.filter("frame_id <= 5"), "nfl_id", band=7.0)
+    # A chain crew member stands beside every play, near the line in some.
+    crew = t.plays.select(*PLAY, F.lit(900).cast("bigint").alias("nfl_id"), F.lit(40.0).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("f"))
+    crew = crew.withColumn("y", 0.5 + (F.col("play_id") % 7) * 0.5 + F.col("f") / 100)
+    return rs.static_furniture(t.men.select(*PLAY, "nfl_id", "x", "y").unionByName(crew.drop("f")), "nfl_id")
 
 
 @query("sideline_cuts")
@@ -286,11 +290,12 @@ def _(t: Tables):
     return rs.hold_out(t.plays.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")), "game_id")
 
 
-@query("kit_clusters")
+@query("kit_clusters", """SELECT game_id, play_id, nfl_id, CASE WHEN nfl_id % 11 = 0 THEN 'other' WHEN club = 'AWY' THEN 'teamA' ELSE 'teamB' END AS kit, count(*) AS samples,
+  abs(max(avg(CASE WHEN nfl_id % 11 > 0 AND club = 'AWY' THEN 1 END)) OVER (PARTITION BY play_id)) > 0 AS apart FROM men GROUP BY game_id, play_id, nfl_id, club""", "men")
 def _(t: Tables):
-    c = t.men.filter("frame_id <= 3").select(*PLAY, "nfl_id", F.when(F.col("club") == "HOM", 80.0).otherwise(30.0).alias("l"),
+    c = t.men.select(*PLAY, "nfl_id", F.when(F.col("club") == "HOM", 80.0).otherwise(30.0).alias("l"),
                                              F.when(F.col("nfl_id") % 11 == 0, 60.0).otherwise(5.0).alias("a"), (F.col("s") % 3).alias("b"))
-    return rs.kit_clusters(c, [*PLAY, "nfl_id"])
+    return rs.kit_clusters(c, [*PLAY, "nfl_id"]).select(*PLAY, "nfl_id", "kit", "samples", F.col("separation").between(49.0, 52.0).alias("apart"))
 
 
 # Frame descriptors from the event stream: 60 events make a clip.

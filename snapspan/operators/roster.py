@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snapspan.operators.pairs import duplicate_pairs
 from snapspan.plans.folds import ordered_fold, small_groups
+from snapspan.plans.ranking import global_rank
 from snapspan.schema import CONTRACT_WIDTH, PLAY, DuplicateRules, StitchRules
 
 
@@ -229,28 +230,41 @@ def static_candidates(points: DataFrame, keys, frame: str, radius: float = 1.5,
 def hold_out(rows: DataFrame, clip: str, share: float = 0.2) -> DataFrame:
     """The last clips in sorted order are validation: round(share x clips), at least one.
 
-    The cut clip is found by one bounded sort of the distinct clips, not by a global window.
+    Clips are ranked over the whole table in buckets, so no task sorts them all; ``clip`` is a number.
     """
-    clips = rows.select(clip).distinct()
-    n = clips.count()
-    held = max(1, round(share * n)) if n else 0
-    cut = clips.orderBy(F.desc(clip)).limit(held).agg(F.min(clip)).first()[0]
-    return rows.withColumn("split", F.when(F.col(clip) >= F.lit(cut), "val").otherwise("train"))
+    clips = global_rank(rows.select(clip).distinct(), clip, clip, total="_clips")
+    held = F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("_clips"), 0).cast("bigint"))
+    split = F.when(F.col("rank") > F.col("_clips") - held, "val").otherwise("train")
+    return rows.join(clips.select(clip, split.alias("split")), clip)
 
 
-def kit_clusters(colours: DataFrame, keys, k: int = 3, seed: int = 17) -> DataFrame:
-    """Median colour per track, clustered; clusters named by size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def kit_clusters(colours: DataFrame, keys, clip=PLAY, k: int = 3) -> DataFrame:
+    """Median colour per track, clustered within its clip; clusters named by size.
+
+    A clip of fewer tracks has fewer clusters. Of equally large clusters the darker one is named first. ``separation`` is the distance
+    of the two teams, null where there is one. The tracks of one clip are some dozens of rows, clustered many clips to a batch.
+    """
     med = colours.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("l", "a", "b")], F.count(F.lit(1)).alias("samples"))
-    vec = VectorAssembler(inputCols=["l", "a", "b"], outputCol="features").transform(med)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-    out = model.transform(vec).drop("features")
-    # One row per cluster: k rows whatever the data.
-    sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    named = sizes.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")))
-    named = named.withColumn("kit", F.when(F.col("_r") == 1, "teamA").when(F.col("_r") == 2, "teamB").otherwise("other"))
-    centres = [np.array(c) for c in model.clusterCenters()]
-    gap = min((float(np.linalg.norm(p - q)) for i, p in enumerate(centres) for q in centres[:i]), default=0.0)
-    return out.join(F.broadcast(named.select("cluster", "kit")), "cluster").withColumn("separation", F.lit(gap))
 
+    def name(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["l", "a", "b"], kind="stable")
+        x = pdf[["l", "a", "b"]].to_numpy()
+        most = min(k, len(np.unique(x, axis=0)))
+        groups = [[i] for i in range(len(x))]
+        while len(groups) > most:  # join the two groups whose union spreads least more
+            centres, n = np.array([x[g].mean(axis=0) for g in groups]), np.array([len(g) for g in groups])
+            cost = ((centres[:, None] - centres[None]) ** 2).sum(axis=2) * (n[:, None] * n[None]) / (n[:, None] + n[None])
+            cost[np.tril_indices(len(n))] = np.inf
+            i, j = np.unravel_index(cost.argmin(), cost.shape)
+            groups[i] += groups.pop(j)
+        own = np.empty(len(x), int)
+        for c, g in enumerate(groups):
+            own[g] = c
+        centres = np.array([x[g].mean(axis=0) for g in groups])
+        ranked = sorted(range(len(centres)), key=lambda c: (-(own == c).sum(), tuple(centres[c])))
+        kits = {c: ("teamA", "teamB")[r] if r < 2 else "other" for r, c in enumerate(ranked)}
+        gap = float(np.linalg.norm(centres[ranked[0]] - centres[ranked[1]])) if len(ranked) > 1 else None
+        return pdf.assign(kit=[kits[c] for c in own], separation=gap)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in med.schema) + ", kit string, separation double"
+    return small_groups(med, list(clip), name, schema)
