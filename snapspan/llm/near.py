@@ -8,8 +8,8 @@ could be missing from a partner, and one. (At 0.85, a partner of a set of 119 ha
 
 Equal sets are one class, represented by its smallest doc_id, so copies are never paired. Under a key no pairs are
 expanded at first: each member is confirmed against one leader, first the smallest id, then the member with most links
-so far. Only members that are still in different components meet all others of their key, if the collision-corrected
-estimate of their registers allows it. A pair at the threshold shares no band with a chance of about 4e-7.
+so far. Only members that are still in different components are compared with all others of their key, by the collision-corrected
+estimate of 512 registers and then, where it allows a link, in full. A pair at the threshold shares no band with a chance of about 4e-7.
 
 Null text is empty text; a document without words has an empty set and is linked with nothing. Repeated rows
 get equal results. Rows that share a doc_id but not a set are placed each by its own set; where both lead a class, what
@@ -29,25 +29,28 @@ from snapspan.llm.common import slices, utf8_views, written
 from snapspan.llm.graph import components
 from snapspan.llm.rolling import U
 
-REGISTERS, MANTISSA, BAND = 128, 10, 5
+#: Bits of the bucket, for bands and for estimates; bits of mantissa; registers in a band.
+BANDED, ESTIMATED, MANTISSA, BAND = 7, 9, 10, 5
 SHORT, LONG = 118, 101
 PERCENT = 85
 #: Chance that two unequal minima of a bucket share leading zeros and mantissa.
 COLLISION = 2.0**-MANTISSA / 3
-#: The estimate may fall short of the threshold by eight standard errors of 128 registers.
-SLACK = 0.25
+#: The estimate may fall short of the threshold by so many standard errors, and by so much at least.
+ERRORS, SLACK = 6, 0.02
+#: Members of a key that are compared at once.
+BLOCK = 400
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, bands array<long>, shingles array<long>, registers array<smallint>"
 
 
-def registers(row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
-    """One line of registers a row, 0 where a bucket is empty; ``code`` is sorted within each row."""
-    out = np.zeros((rows, REGISTERS), np.uint16)
+def registers(row: np.ndarray, code: np.ndarray, rows: int, bits: int = ESTIMATED) -> np.ndarray:
+    """One line of 2**bits registers a row, 0 where a bucket is empty; ``code`` is sorted within each row."""
+    out = np.zeros((rows, 1 << bits), np.uint16)
     if not len(row):
         return out
-    bucket = (code >> U(57)).astype(np.int64)
+    bucket = (code >> U(64 - bits)).astype(np.int64)
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
-    value = code[first] << U(7)
+    value = code[first] << U(bits)
     zeros = np.minimum(64 - np.frexp((value >> U(11)).astype(np.float64))[1] - 11, 60)
     mantissa = (value << np.minimum(zeros + 1, 63).astype(U)) >> U(64 - MANTISSA)
     out[row[first], bucket[first]] = 1 + (zeros.astype(np.int64) << MANTISSA) + mantissa.astype(np.int64)
@@ -56,7 +59,7 @@ def registers(row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
 
 def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key and validity of each band; one with under two filled registers says too little."""
-    n = REGISTERS // BAND
+    n = regs.shape[1] // BAND
     part = regs[:, : n * BAND].reshape(len(regs), n, BAND).astype(U)
     key = np.zeros(part.shape[:2], U)
     for k in range(BAND):
@@ -64,12 +67,21 @@ def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rolling.mix(key + np.arange(n, dtype=U)), (part > 0).sum(2) >= 2
 
 
-def estimate(a, b) -> float:
-    """Jaccard likeness by two lines of registers, with the expected chance collisions taken out."""
-    a, b = np.asarray(a), np.asarray(b)
-    filled = ((a != 0) | (b != 0)).sum()
-    share = ((a == b) & (a != 0)).sum() / max(filled, 1)
-    return max(0.0, (share - COLLISION) / (1 - COLLISION))
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard likeness of a line of registers with each of others, chance collisions taken out, and how many buckets either fills."""
+    some = a != 0
+    filled = np.maximum((some | (b != 0)).sum(-1), 1)
+    share = ((a == b) & some).sum(-1) / filled
+    return np.maximum(0.0, (share - COLLISION) / (1 - COLLISION)), filled
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+    """Whether the estimate allows the threshold. Buckets sample the union, so the error shrinks as they hold all of it."""
+    likeness, filled = estimate(a, b)
+    t = PERCENT / 100
+    part = np.minimum(filled / np.maximum((n + m) / (1 + t), 1), 1)
+    error = np.sqrt(t * (1 - t) / filled * (1 - part))
+    return likeness >= t - np.maximum(SLACK, ERRORS * error)
 
 
 def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
@@ -91,13 +103,13 @@ def _signatures(batches):
                 ends = np.cumsum(n)
                 total[k] = sums[ends] - sums[ends - n]
             regs = registers(row, code, rows)
-            key, good = bands(regs)
+            key, good = bands(registers(row, code, rows, BANDED))
             good &= (n >= LONG)[:, None]
             short = n[row] <= SHORT
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(a, rows).cast(pa.int64()), pa.array(n), pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)),
                 _lists(np.nonzero(good)[0], key[good], rows), _lists(row[short], code[short], rows),
-                pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * REGISTERS), pa.array(regs.reshape(-1).view(np.int16)))],
+                pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) << ESTIMATED), pa.array(regs.reshape(-1).view(np.int16)))],
                 names=["doc_id", "n", "d1", "d2", "bands", "shingles", "registers"])
 
 
@@ -150,12 +162,62 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         own.append(np.sort(mine))
                     elif leader == (a[i], part[i]) and any(_linked(x, mine) for x in own):
                         links.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+            yield _pairs(links)
 
     together = left.unionAll(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return together.mapInArrow(stream, "a long, b long")
 
 
+def _likely(rest: DataFrame) -> DataFrame:
+    """(a, b) of members of a key that are in different components and may reach the threshold.
+
+    The members of a key are dealt into blocks of bounded size and each two blocks meet in a group of their own. A pair
+    that shares several keys is told under the first of them only.
+    """
+    shared = rest.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    rest = rest.join(shared, "id")
+    many = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(many, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "component", "registers", "keys")
+
+    def compare(group: list[tuple], key: int) -> list[tuple]:
+        own, ids, n, component = (np.array([r[k] for r in group]) for k in range(4))
+        regs = np.stack([r[4] for r in group])
+        out = []
+        for i in range(len(group)):
+            low, high = np.minimum(n, n[i]), np.maximum(n, n[i])
+            ok = (ids > ids[i]) & (component != component[i]) & (100 * low >= PERCENT * high)
+            if group[0][5]:  # two blocks: only across
+                ok &= own != own[i]
+            j = np.flatnonzero(ok)
+            if len(j):
+                j = j[may_link(regs[i], regs[j], int(n[i]), n[j])]
+                own_keys = set(group[i][6])
+                out += [(int(ids[i]), int(ids[x])) for x in j if next(k for k in group[x][6] if k in own_keys) == key]
+        return out
+
+    def stream(batches):
+        at, group, pairs = None, [], []
+        for batch in batches:
+            regs = batch.column("registers").flatten().to_numpy().reshape(-1, 1 << ESTIMATED)
+            key, low, high, own, ids, n, component, keys = (batch.column(c).to_pylist() for c in ("key", "low", "high", "own", "id", "n", "component", "keys"))
+            for i in range(batch.num_rows):
+                if (key[i], low[i], high[i]) != at:
+                    pairs += compare(group, at[0]) if len(group) > 1 else []
+                    at, group = (key[i], low[i], high[i]), []
+                group.append((own[i], ids[i], n[i], component[i], regs[i], low[i] != high[i], keys[i]))
+            yield _pairs(pairs)
+            pairs = []
+        yield _pairs(compare(group, at[0]) if len(group) > 1 else [])
+
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(stream, "a long, b long")
+
+
+def _pairs(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -189,14 +251,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = written(links.unionAll(_confirm(more, texts)), "near-links")
     tried = tried.unionAll(more)
 
-    # what is still apart under a key is compared in full
+    # what is still apart under a key is compared by registers, and what these allow in full
     rest = _still_open(keys, links).join(classes.select("id", "registers"), "id")
-    l, r = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "registers")]) for s in "ab")
-    like = f"""n_a <= {SHORT} and n_b <= {SHORT} or
-        (aggregate(zip_with(registers_a, registers_b, (x, y) -> if(x = y and x <> 0, 1, 0)), 0, (s, x) -> s + x) /
-         aggregate(zip_with(registers_a, registers_b, (x, y) -> if(x <> 0 or y <> 0, 1, 0)), 0, (s, x) -> s + x) - {COLLISION}) / {1 - COLLISION} >= {PERCENT / 100 - SLACK}"""
-    pairs = l.join(r, "key").filter(f"id_a < id_b and component_a <> component_b and {_fits('n_a', 'n_b')} and ({like})")
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    pairs = _likely(rest).distinct()
     back = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = written(pairs.join(back, ["a", "b"], "left_anti"), "near-pairs")
     links = written(links.unionAll(_confirm(pairs, texts)), "near-links")
