@@ -93,7 +93,7 @@ def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
 def _signatures(batches):
     for batch in batches:
         data, offsets = utf8_views(batch.column("text"))
-        for a, b in slices(offsets, 4_000_000):
+        for a, b in slices(offsets, 2_000_000):
             rows = b - a
             row, code = rolling.shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             n = np.bincount(row, minlength=rows)
@@ -151,7 +151,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             data, offsets = utf8_views(batch.column("text"))
             a, b, part = (batch.column(c).to_pylist() for c in ("a", "b", "part"))
             links = []
-            for lo, hi in slices(offsets, 4_000_000):
+            for lo, hi in slices(offsets, 2_000_000):
                 row, code = rolling.shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 for i in range(lo, hi):
