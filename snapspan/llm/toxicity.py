@@ -43,7 +43,7 @@ CLAUSE, WORD = re.compile(r"[.!?;:\n]+"), re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 BESIDE_TARGET, NEGATED, REPORTED = 1.25, 0.35, 0.5
 REACH = 3
 #: An arc may occur in so many clean documents for each toxic one.
-SLIPS = 0.07
+SLIPS = 0.01
 FEATURES = 4
 
 
