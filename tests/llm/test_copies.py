@@ -120,6 +120,22 @@ def test_hot_keys_are_compared_in_blocks(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_copies_from_80_and_from_85(spark):
+    """Short and long pairs planted at 0.80 to 0.85 are copies from 80 on and not from 85 on; those under 0.80 are never."""
+    rng = random.Random(9)
+    rows, want = [], []
+    for k in range(40):
+        size = rng.choice([45, 104, 110, 124, 125, 126, 130, 300, 900])
+        words = [f"{word(rng)}{k}x{i}" for i in range(size + 4)]
+        both = next(b for b in range(size) if 100 * b >= 80 * (2 * size - b)) - (k % 4 == 0)  # a new tail leaves so many
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: both + 4] + [f"new{k}x{i}" for i in range(size - both)]))]
+        want += [2 * k] if k % 4 else [2 * k, 2 * k + 1]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.one_of_each(frame, percent=80).collect()) == want
+    assert near.near_copies(frame).filter("kept").count() == len(rows)
+    assert (near.short_to(85), near.band_rows(85)) == (118, 5) and (near.short_to(80), near.band_rows(80)) == (125, 4)
+
+
 def test_registers_estimate_likeness():
     rng = np.random.default_rng(1)
     both, left, right = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (8000, 1000, 1000))
