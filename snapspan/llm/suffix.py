@@ -8,7 +8,9 @@ all documents; blocks of grams that occur once end here, and blocks that are equ
 after it lie in the window, so equal windows start in suffixes that share nine cells. Suffixes
 of the cell strings are sorted by `lyndon.suffix_order`, a chunk of grams at a time; neighbours that share nine
 cells form classes, and within a class the at most 20 windows of each suffix are compared by their own hash. A
-gram with very many contexts is dealt out by suffix, keyed by a hash of the nine cells, so no gram is one task.
+gram with very many contexts is dealt out by suffix, keyed by a hash of the nine cells; equal pieces become one with a summed count.
+Nine cells that still have very many pieces, as at the edges of a passage in very many texts, are not sorted in one place: their
+windows are counted by hash in Spark, which sums in part before the shuffle. So no more than ``WIDE`` contexts are held at once for a key.
 
 *Removal.* Windows found become stretches by text (hash of text and length), are joined to every document of that text and cut out.
 
@@ -37,7 +39,7 @@ SIZE, GRAM, CELL = 200, 32, 20
 CELLS = (SIZE - CELL + 1) // CELL
 SPAN = SIZE - GRAM + 1
 POSITION = 28
-#: A gram with more contexts is dealt out by suffix.
+#: A gram with more contexts is dealt out by suffix; nine cells with more pieces are counted by window.
 WIDE = 256
 #: Cells sorted at once, and bytes compared at once.
 CHUNK = 60_000
@@ -214,6 +216,42 @@ def _sort_contexts(batches):
     yield solve(held)
 
 
+def _hash_windows(batches):
+    """The hashes of the windows of each piece, in order."""
+    for batch in batches:
+        own, many = batch.column("bytes").to_pylist(), batch.column("many").to_numpy().astype(np.int64)
+        base = np.cumsum([0, *map(len, own)])[:-1]
+        start = np.repeat(base - np.cumsum(many) + many, many) + np.arange(many.sum())
+        code = Rolling(np.frombuffer(b"".join(own), np.uint8)).of(start, start + SIZE)
+        offsets = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gram", "block", "n")), pa.ListArray.from_arrays(offsets, pa.array(code.view(np.int64)))], names=["gram", "block", "n", "codes"])
+
+
+def _counted(pieces: DataFrame) -> DataFrame:
+    """(gram, block, low, high) of the windows of ``pieces`` whose hash occurs twice or more in all."""
+    each = pieces.mapInArrow(_hash_windows, "gram long, block long, n long, codes array<long>").select("gram", "block", "n", F.posexplode("codes").alias("low", "code"))
+    twice = each.groupBy("gram", "code").agg(F.sum("n").alias("n")).filter("n > 1").select("gram", "code")
+    return each.join(twice, ["gram", "code"], "left_semi").select("gram", "block", "low", (F.col("low") + 1).alias("high"))
+
+
+def _sorted(contexts: DataFrame) -> DataFrame:
+    """(gram, block, low, high) by sorting the contexts of each gram and part."""
+    dealt = contexts.select("gram", "part", "block", "lead", "shift", "many", "n", "bytes").repartition("gram", "part").sortWithinPartitions("gram", "part", "block", "shift")
+    return dealt.mapInArrow(_sort_contexts, "gram long, block long, low int, high int")
+
+
+def _wide_runs(cut: DataFrame) -> DataFrame:
+    """(gram, block, low, high) for the pieces of wide grams."""
+    cut = written(cut.withColumn("piece", F.xxhash64("part", "lead", "many", "bytes")), "suffix-pieces")
+    merged = cut.groupBy("gram", "part", "piece").agg(F.sum("n").alias("n"), F.min("lead").alias("lead"), F.min("many").alias("many"), F.min("bytes").alias("bytes"))
+    merged = written(merged.withColumnRenamed("piece", "block").withColumn("shift", F.lit(0)), "suffix-merged")
+    merged = merged.join(merged.groupBy("gram", "part").agg(F.count("*").alias("pieces")), ["gram", "part"])
+    alone = merged.filter("pieces = 1 and n > 1").select("gram", "block", F.lit(0).alias("low"), F.col("many").alias("high"))
+    runs = _sorted(merged.filter(f"pieces between 2 and {WIDE}")).unionAll(_counted(merged.filter(f"pieces > {WIDE}"))).unionAll(alone)
+    runs = runs.withColumnRenamed("block", "piece")
+    return cut.join(runs, ["gram", "piece"]).select("gram", "block", (F.col("shift") + F.col("low")).alias("low"), (F.col("shift") + F.col("high")).alias("high"))
+
+
 def _cut(text: bytes, stretches) -> tuple[bytes, int]:
     """What is left of a text, and the number of maximal stretches."""
     out, at, n, until = [], 0, 0, -1
@@ -238,15 +276,16 @@ def repeated_stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds"))
     contexts = contexts.join(kinds, "gram")
     alone = contexts.filter("kinds = 1 and n > 1").select("gram", "block", F.lit(0).alias("low"), F.col("many").alias("high"))
-    wanted = contexts.filter("kinds > 1").groupBy("text_id").agg(
-        F.collect_list(F.struct("gram", "block", "n", "start", "many", "lead", (F.col("kinds") > WIDE).alias("wide"))).alias("wanted"))
     # of a text's copies the one with the smallest id is read, so a text with very many copies is dealt by id
-    wanted = wanted.join(texts.groupBy("text_id").agg(F.min("row_id").alias("row_id")), "text_id")
-    copy = F.row_number().over(Window.partitionBy("text_id", "row_id").orderBy("text_id"))
-    cut = texts.join(wanted, ["text_id", "row_id"]).withColumn("copy", copy).filter("copy = 1")
-    cut = cut.select("text", "wanted").mapInArrow(_cut_contexts, CONTEXT)
-    cut = cut.repartition("gram", "part").sortWithinPartitions("gram", "part", "block", "shift")
-    runs = written(cut.mapInArrow(_sort_contexts, "gram long, block long, low int, high int").unionAll(alone), "suffix-runs")
+    firsts = texts.groupBy("text_id").agg(F.min("row_id").alias("row_id"))
+
+    def cut(some: str) -> DataFrame:
+        wanted = contexts.filter(some).groupBy("text_id").agg(
+            F.collect_list(F.struct("gram", "block", "n", "start", "many", "lead", (F.col("kinds") > WIDE).alias("wide"))).alias("wanted")).join(firsts, "text_id")
+        copy = F.row_number().over(Window.partitionBy("text_id", "row_id").orderBy("text_id"))
+        return texts.join(wanted, ["text_id", "row_id"]).withColumn("copy", copy).filter("copy = 1").select("text", "wanted").mapInArrow(_cut_contexts, CONTEXT)
+
+    runs = written(_sorted(cut(f"kinds between 2 and {WIDE}")).unionAll(_wide_runs(cut(f"kinds > {WIDE}"))).unionAll(alone), "suffix-runs")
     places = found.join(runs, ["gram", "block"]).select("text_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + SIZE).alias("high"))
     return places.groupBy("text_id").agg(F.collect_set(F.struct("low", "high")).alias("stretches"))
 

@@ -189,6 +189,32 @@ def test_suffix_dedup_equals_all_windows(docs, texts, monkeypatch, wide):
     assert got == plain_removal(texts) and sum(x[0][1] > 0 for x in got.values()) > 20
 
 
+def test_no_gram_is_sorted_whole(spark, monkeypatch):
+    """A passage with other surroundings in each of many texts: few contexts of a gram come to one sort, with equal results."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(700))
+    rows = [(k, "".join(rng.choice("klmnopqrst ") for _ in range(250)) + passage + "".join(rng.choice("uvwxyz ") for _ in range(250))) for k in range(60)]
+    sort = suffix._sort_contexts
+
+    def watched(batches):
+        seen = {}
+
+        def watch():
+            for batch in batches:
+                keys = batch.select([c for c in ("gram", "part") if c in batch.schema.names])
+                for key in zip(*(c.to_pylist() for c in keys.columns)):
+                    seen[key] = seen.get(key, 0) + 1
+                    assert seen[key] <= 16, "more than WIDE contexts in one group"
+                yield batch
+
+        yield from sort(watch())
+
+    monkeypatch.setattr(suffix, "WIDE", 16)
+    monkeypatch.setattr(suffix, "_sort_contexts", watched)
+    got = {r["doc_id"]: [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])] for r in suffix.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_removal(rows) and all(x[0][1] >= 700 for x in got.values())
+
+
 def test_suffix_dedup_edges(spark):
     rng = random.Random(2)
     a, b = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (260, 700))
