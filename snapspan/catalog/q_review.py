@@ -87,7 +87,7 @@ def _(t: Tables):
 
 @query("cross_fit_errors")
 def _(t: Tables):
-    fitted = fc.cross_fit(samples(t), rounds=5, depth=4)
+    fitted = fc.cross_fit(samples(t))
     return rv.error_table(fitted)
 
 

@@ -131,3 +131,22 @@ def test_documents_are_refused_with_a_reason(spark):
     assert sorted(r["problem"] for r in got["problems"].collect()) == ["newer schema version", "no frames"]
     with pytest.raises(ValueError):
         rd.documents_to_rows(rd.parse_documents(docs), strict=True)
+
+
+def test_cross_fit_query_keeps_the_defaults(monkeypatch):
+    """The query fits as many rounds, as deep, as the operator does by default."""
+    import inspect
+
+    from snapspan.catalog import load, q_review
+
+    seen = {}
+    fit = inspect.signature(q_review.fc.fit).parameters
+
+    def cross_fit(samples, rounds=300, fold=None, **kw):
+        seen.update({"rounds": rounds, "depth": fit["depth"].default} | kw)
+
+    monkeypatch.setattr(q_review.fc, "cross_fit", cross_fit)
+    monkeypatch.setattr(q_review, "samples", lambda t: None)
+    monkeypatch.setattr(q_review.rv, "error_table", lambda fitted: fitted)
+    load().QUERIES["cross_fit_errors"](None, "")
+    assert seen == {"rounds": 300, "depth": 5}
