@@ -13,7 +13,7 @@ from snapspan.functions.coding import facing
 from snapspan.functions.geometry import project
 from snapspan.operators import matching as mt, quality as ql, roster as rs, shots as sh
 from snapspan.plans.ranking import global_rank, ntile
-from snapspan.plans.sequences import Span
+from snapspan.plans.sequences import Span, span
 from snapspan.schema import FRAME, PLAY
 
 K = ["game_id", "play_id", "frame_id", "nfl_id"]
@@ -319,7 +319,8 @@ def descriptors(t: Tables):
 
 
 def clip_span(t: Tables):
-    return t._span("clip", lambda: descriptors(t), ["clip"], "frame", "floor(frame / 4096)")
+    """The frames of a clip, in blocks."""
+    return span(["clip"], "frame", "floor(frame / 4096)")
 
 
 @query("shot_segments", "SELECT clip, start_frame, end_frame, round(turf, 6) AS turf, round(turf_sd, 6) AS turf_sd, round(motion, 6) AS motion FROM shots", "shots")
