@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapspan.llm import golay, media, near, packing, pieces, pii, quality, secrets, simhash, suffix, toxicity
+from snapspan.llm import divergence, golay, media, near, packing, pieces, pii, quality, secrets, simhash, suffix, toxicity
 from snapspan.llm.common import read_table
 
 
@@ -50,13 +50,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def op13_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_copies(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_quality, op3_suffix, op4_toxicity, op5_media, op6_sentencepiece, op7_simhash, op8_near_dedup, op9_packing, op10_secrets, op13_golay)}
+    op1_pii, op2_quality, op3_suffix, op4_toxicity, op5_media, op6_sentencepiece, op7_simhash, op8_near_dedup, op9_packing, op10_secrets, op12_divergence, op13_golay)}
 ORACLES: dict[str, str] = {
+    "op12_divergence": divergence.SQL,
     "op3_suffix": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
  w AS (SELECT doc_id, i, hash(substr(h, 2 * i - 1, 400)) AS k FROM d, unnest(range(1, n - 198)) t(i) WHERE n >= 200),
