@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapspan.llm import divergence, golay, media, near, packing, pieces, pii, quality, secrets, simhash, suffix, toxicity
+from snapspan.llm import divergence, golay, media, near, packing, phrases, pieces, pii, quality, secrets, simhash, suffix, toxicity
 from snapspan.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
@@ -59,8 +63,9 @@ def op13_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_quality, op3_suffix, op4_toxicity, op5_media, op6_sentencepiece, op7_simhash, op8_near_dedup, op9_packing, op10_secrets, op12_divergence, op13_golay)}
+    op1_pii, op2_quality, op3_suffix, op4_toxicity, op5_media, op6_sentencepiece, op7_simhash, op8_near_dedup, op9_packing, op10_secrets, op11_phrases, op12_divergence, op13_golay)}
 ORACLES: dict[str, str] = {
+    "op11_phrases": phrases.SQL,
     "op12_divergence": divergence.SQL,
     "op3_suffix": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
