@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_fields", "q_pairs", "q_sequences", "q_interactions", "q_review", "q_quality", "q_library", "q_tracks", "q_suggested"]
+MODULES = ["q_fields", "q_pairs", "q_sequences", "q_interactions", "q_review", "q_quality", "q_library", "q_tracks", "q_suggested", "q_verify"]
 
 
 def load():
