@@ -156,4 +156,5 @@ def oracle(body: str, *names: str) -> str:
     head = ",\n".join(f"{n} AS MATERIALIZED ({BASE[n]})" for n in ordered)
     if not head:
         return body
-    return f"WITH {head}" + (f",\n{body[5:]}" if body.upper().startswith("WITH ") else f"\n{body}")
+    kind = "WITH RECURSIVE" if body.upper().startswith("WITH RECURSIVE ") else "WITH"
+    return f"{kind} {head}" + (f",\n{body[len(kind) + 1:]}" if body.upper().startswith("WITH ") else f"\n{body}")

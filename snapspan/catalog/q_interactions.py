@@ -91,7 +91,16 @@ def _(t: Tables):
     return ia.convergence(m).select(*FRAME, "nfl_id", F.round("score", 5).alias("score"))
 
 
-@query("inferred_possession")
+add_base("conv", CONV, "men")
+
+
+@query("inferred_possession", """WITH RECURSIVE best AS (SELECT play_id, frame_id, map_from_entries(list((nfl_id, score))) AS scores, max(score) AS lead, arg_min(nfl_id, (-score, nfl_id)) AS top FROM conv GROUP BY ALL),
+ p AS MATERIALIZED (SELECT b.game_id, b.play_id, b.frame_id, b.t, scores, lead, CASE WHEN b.t >= 0 THEN top END AS top, row_number() OVER (PARTITION BY b.play_id ORDER BY b.frame_id) AS k FROM ball b LEFT JOIN best ON best.play_id = b.play_id AND best.frame_id = b.frame_id),
+ s AS (SELECT game_id, play_id, frame_id, t, k, top AS who FROM p WHERE k = 1
+   UNION ALL SELECT p.game_id, p.play_id, p.frame_id, p.t, p.k, CASE WHEN p.top IS NOT NULL AND (who IS NULL OR p.lead - coalesce(p.scores[who], 0) > 1.5) THEN p.top ELSE who END FROM s JOIN p ON p.play_id = s.play_id AND p.k = s.k + 1),
+ h AS (SELECT *, CASE WHEN t >= 0 THEN who END AS holder FROM s),
+ g AS (SELECT *, sum(CASE WHEN k = 1 OR holder IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY play_id ORDER BY k) AS run FROM (SELECT *, lag(holder) OVER (PARTITION BY play_id ORDER BY k) AS was FROM h) y)
+ SELECT game_id, play_id, any_value(holder) AS holder, min(frame_id) AS start_frame, max(frame_id) AS end_frame FROM g GROUP BY game_id, play_id, run""", "conv", "ball")
 def _(t: Tables):
     m = t.men.withColumn("side", F.when(F.col("club") == "HOM", "offense").otherwise("defense"))
     who = ia.inferred_holders(ia.convergence(m), t.ball.select(*FRAME, "t"))

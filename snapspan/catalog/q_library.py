@@ -208,7 +208,13 @@ def _(t: Tables):
     return lb.worst(g, "n", [*PLAY, "nfl_id"], 25)
 
 
-@query("carrier_chain")
+@query("carrier_chain", """WITH RECURSIVE n AS (SELECT a.game_id, a.play_id, a.frame_id, a.nfl_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM men a JOIN ball b ON b.play_id = a.play_id AND b.frame_id = a.frame_id),
+ p AS MATERIALIZED (SELECT game_id, play_id, frame_id, CASE WHEN frame_id = 3 OR d <= 1.5 THEN nfl_id ELSE -1 END AS pick, frame_id = 3 AS sure, row_number() OVER (PARTITION BY play_id ORDER BY frame_id) AS k
+   FROM (SELECT *, row_number() OVER (PARTITION BY play_id, frame_id ORDER BY d, nfl_id) AS rn FROM n) z WHERE rn = 1),
+ s AS (SELECT game_id, play_id, frame_id, k, CASE WHEN sure THEN pick ELSE -1 END AS held, CASE WHEN pick <> -1 AND NOT sure THEN 1 ELSE 0 END AS waited FROM p WHERE k = 1
+   UNION ALL SELECT p.game_id, p.play_id, p.frame_id, p.k, CASE WHEN p.pick <> held AND (p.sure OR waited >= 1) THEN p.pick ELSE held END, CASE WHEN p.pick <> held AND NOT (p.sure OR waited >= 1) THEN waited + 1 ELSE 0 END
+   FROM s JOIN p ON p.play_id = s.play_id AND p.k = s.k + 1)
+ SELECT game_id, play_id, frame_id, nullif(held, -1) AS carrier FROM s""", "men", "ball")
 def _(t: Tables):
     near = pa.nearest_to_ball(t.men, t.ball).withColumn("declared", F.when(F.col("frame_id") == 3, F.col("near_id")))
     return ch.carrier_chain(near)
@@ -261,6 +267,18 @@ def _(t: Tables):
     return tk.track_balls(cand, t.men.select(*FRAME, "x", "y"), t.ball, PLAY, "frame_id").groupBy(*PLAY, "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("capped_facing", """WITH RECURSIVE p AS MATERIALIZED (SELECT game_id, play_id, nfl_id, frame_id, t, round(s, 9) > 0.6 AS moving, cdir, CASE WHEN nfl_id < 11 THEN 0.0::DOUBLE ELSE 180.0::DOUBLE END AS rest,
+   row_number() OVER (PARTITION BY play_id, nfl_id ORDER BY frame_id) AS k FROM men),
+ s AS (SELECT game_id, play_id, nfl_id, frame_id, k, t, CASE WHEN moving THEN cdir ELSE rest END AS o, CASE WHEN moving THEN 'from_velocity' ELSE 'assumed' END AS src FROM p WHERE k = 1
+   UNION ALL SELECT p.game_id, p.play_id, p.nfl_id, p.frame_id, p.k, p.t, (s.o + greatest(-250 * (p.t - s.t), least(250 * (p.t - s.t), CASE WHEN round(d, 9) > 180 THEN d - 360 ELSE d END)) + 360) % 360, 'from_velocity'
+   FROM s JOIN p ON p.play_id = s.play_id AND p.nfl_id = s.nfl_id AND p.k = s.k + 1, LATERAL (SELECT CASE WHEN p.moving THEN (p.cdir - s.o + 720) % 360 ELSE 0 END AS d) x)
+ SELECT game_id, play_id, nfl_id, frame_id, round(sin(radians(o)), 6) AS across, round(cos(radians(o)), 6) AS along, src AS facing_source FROM s""", "men")
+def _(t: Tables):
+    m = t.men.select(*K, "t", F.col("s").alias("speed"), F.col("cdir").alias("travel"), ts.resting_angle(F.when(F.col("nfl_id") < 11, "offense").otherwise("defense")).alias("rest"))
+    f = ts.facing_from_motion(m, [*PLAY, "nfl_id"], "frame_id", "rest")
+    return f.select(*K, F.round(F.sin(F.radians("facing")), 6).alias("across"), F.round(F.cos(F.radians("facing")), 6).alias("along"), "facing_source")
+
+
 @query("track_to_contract")
 def _(t: Tables):
     """Resample, smooth, differentiate and orient video tracks."""

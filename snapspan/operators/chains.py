@@ -5,34 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapspan.plans.folds import ordered_fold
+from snapspan.plans.scan import automaton
 from snapspan.plans.sequences import Span, last_known, running_sum
 from snapspan.schema import FRAME, PLAY
 
+#: In place of an id while the ball is loose.
+NOBODY = -1
 
-def carrier_chain(frames: DataFrame, reach: float = 1.5) -> DataFrame:
+
+def carrier_chain(frames: DataFrame, reach: float = 1.5, block: int = 64) -> DataFrame:
     """Carrier per frame with a two-frame debounce; a declared carrier takes over at once.
 
-    ``frames`` is one row per frame: near_id, near_dist, declared. The debounce counts its own
-    changes of mind, so it is an ordered fold over frames (not over players).
+    ``frames`` is one row per frame: near_id, near_dist, declared. Who is held and whether the last frame spoke against him is a finite state, so plays are cut
+    in blocks whose state functions are composed.
     """
-    f = frames.select(*FRAME, F.coalesce("declared", F.when(F.col("near_dist") <= reach, F.col("near_id")), F.lit(-1)).alias("pick"),
+    f = frames.select(*FRAME, F.coalesce("declared", F.when(F.col("near_dist") <= reach, F.col("near_id")), F.lit(NOBODY)).cast("bigint").alias("pick"),
                       F.col("declared").isNotNull().alias("sure"))
 
-    def step(state: dict, row: dict) -> list[dict]:
-        held, waited = state.get("held", -1), state.get("waited", 0)
-        if row["pick"] != held:
-            waited += 1
-            if row["sure"] or waited >= 2:
-                held, waited = row["pick"], 0
-        else:
-            waited = 0
-        state["held"], state["waited"] = held, waited
-        return [{"game_id": row["game_id"], "play_id": row["play_id"], "frame_id": row["frame_id"], "carrier": held}]
-
-    kind = frames.schema["frame_id"].dataType.simpleString()
-    out = ordered_fold(f, PLAY, ["frame_id"], dict, step, f"game_id bigint, play_id bigint, frame_id {kind}, carrier bigint")
-    return out.withColumn("carrier", F.when(F.col("carrier") >= 0, F.col("carrier")))
+    def step(s, r):
+        differs = s["who"] != r["pick"]
+        takes = differs & (r["sure"] | (s["n"] >= 1))
+        return F.struct(F.when(takes, r["pick"]).otherwise(s["who"]).alias("who"), F.when(differs & ~takes, s["n"] + 1).otherwise(F.lit(0)).cast("int").alias("n"))
+
+    out = automaton(f, PLAY, "frame_id", ["pick", "sure"], lambda rows: F.transform(rows, lambda r: r["pick"]), 2, (NOBODY, 0), step, block)
+    return out.select(*FRAME, F.when(F.col("who") != NOBODY, F.col("who")).alias("carrier"))
 
 
 def exchanges(chain: DataFrame, events: DataFrame, nearest: DataFrame, sp: Span) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from snapspan.functions.angles import heading, turn_deg
 from snapspan.functions.geometry import dist
 from snapspan.operators.pairs import close_pairs, nearest_to_ball
-from snapspan.plans.folds import ordered_fold
+from snapspan.plans.scan import automaton
 from snapspan.plans.sequences import Span, islands, position, shift
 from snapspan.schema import FRAME, PLAY, ContactRules, EvadeRules, PossessionRules, ViewRules
 
+#: In place of an id while nobody carries the ball.
+NOBODY = -1
+
 
 def holders(men: DataFrame, ball: DataFrame, rules: PossessionRules = PossessionRules()) -> DataFrame:
     """Who has the ball on each frame; null while it is loose or unseen."""
@@ -62,31 +65,26 @@ def convergence(men: DataFrame, radius: float = 15.0) -> DataFrame:
         F.coalesce(F.sum(F.when(good, closing)), F.lit(0.0)).alias("score"))
 
 
-def inferred_holders(scores: DataFrame, frames: DataFrame, margin: float = 1.5) -> DataFrame:
+def inferred_holders(scores: DataFrame, frames: DataFrame, margin: float = 1.5, block: int = 64) -> DataFrame:
     """Carrier from convergence; a new man takes over only when ahead by ``margin``.
 
-    Scores are reduced to one row per frame first; the switch rule is an ordered fold over those.
+    Scores are reduced to one row per frame first; who is held is a finite state, so plays are cut in blocks whose state functions are composed.
     ``frames`` has (game, play, frame, t); frames before t = 0 have no carrier.
     """
-    best = scores.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("nfl_id").cast("string"), "score"))).alias("scores"))
-    rows = frames.select(*FRAME, "t").join(best, FRAME, "left").withColumn("scores", F.to_json("scores"))
-
-    def step(state: dict, row: dict) -> list[dict]:
-        import json
-        cur = state.get("who")
-        if row["t"] >= 0 and row["scores"]:
-            s = {int(k): v for k, v in json.loads(row["scores"]).items()}
-            top = min(s, key=lambda k: (-s[k], k))
-            if cur is None or top == cur or s[top] - s.get(cur, 0.0) > margin:
-                cur = top
-        state["who"] = cur
-        return [{"game_id": row["game_id"], "play_id": row["play_id"], "frame_id": row["frame_id"], "t": row["t"],
-                 "holder": cur if row["t"] >= 0 else None}]
-
-    frame_type = frames.schema["frame_id"].dataType.simpleString()
-    return ordered_fold(rows, PLAY, ["frame_id"], dict, step,
-                        f"game_id bigint, play_id bigint, frame_id {frame_type}, t double, holder bigint")
+    best = scores.groupBy(*FRAME).agg(F.collect_list(F.struct(F.col("nfl_id").cast("bigint").alias("id"), "score")).alias("scores"),
+                                      F.min(F.struct((-F.col("score")).alias("less"), F.col("nfl_id").cast("bigint").alias("id"))).alias("top"))
+    rows = frames.select(*FRAME, "t").join(best, FRAME, "left").withColumn("live", (F.col("t") >= 0) & F.col("top").isNotNull())
+
+    def step(s, r):
+        mine = F.get(F.filter(r["scores"], lambda c: c["id"] == s["who"]), F.lit(0))["score"]
+        top, lead = r["top"]["id"], -r["top"]["less"] - F.coalesce(mine, F.lit(0.0))
+        takes = r["live"] & ((s["who"] == NOBODY) | (lead > margin))
+        return F.struct(F.when(takes, top).otherwise(s["who"]).alias("who"), F.lit(0).alias("n"))
+
+    mentioned = lambda rows: F.flatten(F.transform(rows, lambda r: F.coalesce(F.transform(r["scores"], lambda c: c["id"]), F.array().cast("array<bigint>"))))
+    held = automaton(rows, PLAY, "frame_id", ["live", "top", "scores"], mentioned, 1, (NOBODY, 0), step, block)
+    out = frames.select(*FRAME, "t").join(held, FRAME)
+    return out.select(*FRAME, "t", F.when((F.col("t") >= 0) & (F.col("who") != NOBODY), F.col("who")).alias("holder"))
 
 
 def engagements(men: DataFrame, held: DataFrame, play_span: Span, rules: ContactRules = ContactRules()) -> DataFrame:

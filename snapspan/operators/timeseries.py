@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapspan.functions.angles import heading, turn_deg
-from snapspan.plans.folds import ordered_fold
+from snapspan.plans.scan import chained
 from snapspan.plans.sequences import Span, around, last_known, shift
 
 SLOW = 0.6
@@ -163,31 +163,24 @@ def turn_rate(df: DataFrame, sp: Span, angle: str, t: str = "t") -> DataFrame:
     return df.withColumns({"turn": turn, "turn_rate": F.abs(turn) / (F.col(t) - F.col("_tb"))}).drop("_ab", "_tb")
 
 
-def facing_from_motion(df: DataFrame, keys: list[str], frame: str, resting: str) -> DataFrame:
+def facing_from_motion(df: DataFrame, keys: list[str], frame: str, resting: str, block: int = 256) -> DataFrame:
     """Facing from travel: velocity, held, or the resting angle, turning 250 degrees a second at most.
 
-    The cap works on the angle of the previous output, so this is an ordered fold.
+    The cap works on the angle of the previous output: a fold over the narrow samples of a track, replayed in blocks.
     """
-    types = {"long": "bigint"}
-    schema = ", ".join([*[f"{k} {types.get(df.schema[k].dataType.typeName(), df.schema[k].dataType.simpleString())}" for k in keys],
-                        f"{frame} {df.schema[frame].dataType.simpleString()}", "facing double", "facing_source string"])
-
-    def step(state: dict, row: dict) -> list[dict]:
-        last = state.get("o")
-        moving = round(row["speed"], 9) > SLOW
-        target = row["travel"] if moving else (last if last is not None else row[resting])
-        source = "from_velocity" if moving or last is not None else "assumed"
-        if last is not None:
-            cap = MAX_TURN * max(row["t"] - state["t"], 1e-6)
-            delta = (target - last) % 360.0
-            delta = delta - 360.0 if delta > 180.0 else delta
-            target = last + max(-cap, min(cap, delta))
-        out = target % 360.0
-        state["o"], state["t"] = (0.0 if out >= 360.0 else out), row["t"]
-        return [{**{k: row[k] for k in (*keys, frame)}, "facing": state["o"], "facing_source": source}]
-
-    slim = df.select(*keys, frame, "t", "speed", "travel", resting)
-    return ordered_fold(slim, keys, [frame], dict, step, schema)
+    def step(s, r):
+        moving, new = F.round(r["speed"], 9) > SLOW, s["o"].isNull()
+        target = F.when(moving, r["travel"]).otherwise(F.coalesce(s["o"], r["rest"]))
+        delta = F.pmod(target - s["o"], F.lit(360.0))
+        delta = F.when(F.round(delta, 9) > 180.0, delta - 360.0).otherwise(delta)  # half a turn goes left
+        cap = MAX_TURN * F.greatest(r["t"] - s["t"], F.lit(1e-6))
+        out = F.pmod(F.when(new, target).otherwise(s["o"] + F.greatest(-cap, F.least(cap, delta))), F.lit(360.0))
+        return F.struct(F.when(out >= 360.0, 0.0).otherwise(out).alias("o"), r["t"].alias("t"), (moving | ~new).alias("led"))
+
+    slim = df.select(*keys, frame, *[F.col(c).cast("double").alias(c) for c in ("t", "speed", "travel")], F.col(resting).cast("double").alias("rest"))
+    start = F.struct(F.lit(None).cast("double").alias("o"), F.lit(None).cast("double").alias("t"), F.lit(False).alias("led"))
+    return chained(slim, keys, frame, ["t", "speed", "travel", "rest"], start, step,
+                   lambda s: {"facing": s["o"], "facing_source": F.when(s["led"], "from_velocity").otherwise("assumed")}, block)
 
 
 def resting_angle(side: Column) -> Column:
