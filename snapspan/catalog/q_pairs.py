@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snapspan.catalog.fixture import add_base
 from snapspan.catalog.registry import Tables, query
 from snapspan.functions import coding
 from snapspan.operators import events as ev, pairs as pa
@@ -127,12 +128,22 @@ def _(t: Tables):
     return in_interval(t.ball.select(*FRAME), iv, PLAY, "frame_id", "s", "e", ["phase"], 16, "ord")
 
 
-@query("duplicate_tracks", f"""WITH a2 AS (SELECT *, CASE WHEN nfl_id >= 11 THEN 'HOM' ELSE club END AS kit FROM men)
- SELECT a.game_id, a.play_id, a.nfl_id AS a, b.nfl_id AS b, count(*) AS shared, count(*) FILTER ({D} <= 0.9) AS close FROM a2 a JOIN a2 b ON a.play_id = b.play_id
-  AND a.frame_id = b.frame_id AND a.kit = b.kit AND a.nfl_id < b.nfl_id GROUP BY ALL HAVING count(*) >= 4 AND count(*) FILTER ({D} <= 0.9) / count(*) >= 0.2""", "men")
+# A second track follows every sixth man half a yard off, on two frames of three far enough away to doubt it for every twelfth.
+add_base("doubled", """SELECT game_id, play_id, frame_id, nfl_id, club, x, y FROM men UNION ALL
+  SELECT game_id, play_id, frame_id, nfl_id + 100, club, x + CASE WHEN nfl_id % 12 = 5 AND frame_id % 3 > 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END, y FROM men WHERE nfl_id % 6 = 5 AND frame_id % 4 > 0""", "men")
+
+
+def doubled(t: Tables):
+    m = t.men.select(*K, "club", "x", "y")
+    off = F.when((F.col("nfl_id") % 12 == 5) & (F.col("frame_id") % 3 > 0), 1.5).otherwise(0.5)
+    twin = m.filter("nfl_id % 6 = 5 AND frame_id % 4 > 0").withColumns({"x": F.col("x") + off, "nfl_id": F.col("nfl_id") + 100})
+    return m.unionByName(twin)
+
+
+@query("duplicate_tracks", f"""SELECT a.game_id, a.play_id, a.nfl_id AS a, b.nfl_id AS b, count(*) AS shared, count(*) FILTER ({D} <= 0.9) AS close FROM doubled a JOIN doubled b ON a.play_id = b.play_id
+  AND a.frame_id = b.frame_id AND a.club = b.club AND a.nfl_id < b.nfl_id GROUP BY ALL HAVING count(*) >= 4 AND count(*) FILTER ({D} <= 0.9) / count(*) >= 0.6""", "doubled")
 def _(t: Tables):
-    m = t.men.select(*K, F.lit("HOM").alias("kit"), "x", "y")
-    return pa.duplicate_pairs(m, "nfl_id", "kit", 0.9, 0.2, 4).drop("kit")
+    return pa.duplicate_pairs(doubled(t), "nfl_id", "club", 0.9, 0.6, 4).drop("club")
 
 
 @query("players_without_match", """SELECT DISTINCT a.game_id, a.play_id, a.nfl_id FROM men a WHERE NOT EXISTS (SELECT 1 FROM men b WHERE b.play_id = a.play_id

@@ -77,10 +77,26 @@ def _(t: Tables):
     return c.groupBy(*PLAY, "state").agg(F.count(F.lit(1)).alias("n"), F.avg("miss").alias("mean_miss"))
 
 
-@query("overlap_suppression")
+# Chains of four boxes a man: each overlaps the next by more than the limit, and not the one after it.
+add_base("stack", """SELECT game_id, play_id, frame_id, nfl_id * 10 + k AS box, nfl_id * 200 + k * 5.0::DOUBLE AS x1, 10.0::DOUBLE AS y1, nfl_id * 200 + k * 5 + 24.0::DOUBLE AS x2, 50.0::DOUBLE AS y2,
+  ((nfl_id * 7 + k * (3 + play_id % 4) + frame_id) % 10)::DOUBLE / 10 AS score FROM men, unnest([0, 1, 2, 3]) c(k)""", "men")
+
+
+def stacked(t: Tables):
+    k = t.men.select(*K, F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("k"))
+    x = F.col("nfl_id") * 200 + F.col("k") * 5.0
+    return k.select(*FRAME, (F.col("nfl_id") * 10 + F.col("k")).alias("box"), x.alias("x1"), F.lit(10.0).alias("y1"), (x + 24).alias("x2"), F.lit(50.0).alias("y2"),
+                    (((F.col("nfl_id") * 7 + F.col("k") * (3 + F.col("play_id") % 4) + F.col("frame_id")) % 10).cast("double") / 10).alias("score"))
+
+
+@query("overlap_suppression", """WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY play_id, frame_id, box // 10 ORDER BY score DESC, box) AS k FROM stack),
+ s AS (SELECT play_id, frame_id, box // 10 AS man, 1 AS k, [x1] AS kept, true AS stays, box FROM b WHERE k = 1
+  UNION ALL SELECT s.play_id, s.frame_id, s.man, b.k::INT, CASE WHEN ok THEN list_append(kept, b.x1) ELSE kept END, ok, b.box FROM s JOIN b ON b.play_id = s.play_id AND b.frame_id = s.frame_id AND b.box // 10 = s.man AND b.k = s.k + 1,
+   LATERAL (SELECT len(list_filter(kept, lambda o: (24 - abs(o - b.x1)) / (24 + abs(o - b.x1)) >= 0.55)) = 0 AS ok) z)
+ SELECT p.game_id, p.play_id, count(*) AS kept, sum(s.box)::BIGINT AS boxes FROM s JOIN plays p ON p.play_id = s.play_id WHERE stays GROUP BY ALL""", "stack", "plays")
 def _(t: Tables):
-    kept = mt.suppress_overlaps(boxes(t).select(*K, "x1", "y1", "x2", "y2", "score"), FRAME, "nfl_id", 0.3)
-    return kept.groupBy(*PLAY).agg(F.count(F.lit(1)).alias("kept"))
+    kept = mt.suppress_overlaps(stacked(t), FRAME, "box")
+    return kept.groupBy(*PLAY).agg(F.count(F.lit(1)).alias("kept"), F.sum("box").alias("boxes"))
 
 
 @query("angle_conventions", """WITH m AS (SELECT *, (degrees(atan2(dy, dx)) + 360) % 360 AS mv FROM (SELECT game_id, play_id, dir, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM men
@@ -222,14 +238,28 @@ def video_tracks(t: Tables):
     return m.unionByName(twin)
 
 
-@query("roster_consolidation", """SELECT game_id, play_id, CAST(22 + (SELECT count(*) FROM range(2)) AS BIGINT) AS before, n.kept, 2::BIGINT AS merged, 1::BIGINT AS unlabelled, 1::BIGINT AS short FROM plays p
-  JOIN (SELECT play_id, 20::BIGINT AS kept FROM plays) n USING (play_id)""", "plays")
+add_base("video", """SELECT game_id, play_id, frame_id, nfl_id, CASE WHEN nfl_id = 21 THEN 'REF' ELSE club END AS club, x, y FROM men WHERE nfl_id <> 20 OR frame_id <= 4
+  UNION ALL SELECT game_id, play_id, frame_id, nfl_id + 40, club, x + 0.3, y FROM men WHERE nfl_id IN (2, 13) AND frame_id % 2 = 0""", "men")
+# No two merges share a track here, so every duplicate pair is a merge.
+add_base("fate", f"""WITH l AS (SELECT play_id, nfl_id, club, count(*) AS life FROM video GROUP BY ALL), m AS (SELECT play_id, club FROM (SELECT play_id, club, row_number() OVER (PARTITION BY play_id ORDER BY sum(life) DESC, club) AS rn FROM l GROUP BY play_id, club) z WHERE rn <= 2),
+ n AS (SELECT play_id, count(DISTINCT frame_id) AS frames FROM video GROUP BY ALL),
+ t AS (SELECT l.*, frames, CASE WHEN m.club IS NULL THEN 'unlabelled' WHEN life < greatest(2, round_even(0.18 * frames, 0)) THEN 'short' END AS early FROM l JOIN n ON n.play_id = l.play_id LEFT JOIN m ON m.play_id = l.play_id AND m.club = l.club),
+ v AS (SELECT video.*, life FROM video JOIN t ON t.play_id = video.play_id AND t.nfl_id = video.nfl_id AND early IS NULL),
+ d AS (SELECT a.play_id, CASE WHEN a.life >= b.life THEN b.nfl_id ELSE a.nfl_id END AS loser, CASE WHEN a.life >= b.life THEN a.nfl_id ELSE b.nfl_id END AS winner FROM v a JOIN v b ON b.play_id = a.play_id AND b.frame_id = a.frame_id AND b.club = a.club AND a.nfl_id < b.nfl_id
+   GROUP BY a.play_id, a.nfl_id, b.nfl_id, a.life, b.life HAVING count(*) >= 4 AND count(*) FILTER ({D} <= 0.9) / count(*) >= 0.6)
+ SELECT t.play_id, t.nfl_id, winner, life, frames, CASE WHEN early IS NOT NULL THEN early WHEN loser IS NOT NULL THEN 'merged' WHEN row_number() OVER (PARTITION BY t.play_id, t.club, early IS NULL AND loser IS NULL ORDER BY life DESC, t.nfl_id) > 11 THEN 'surplus' ELSE 'kept' END AS status
+ FROM t LEFT JOIN d ON d.play_id = t.play_id AND d.loser = t.nfl_id""", "video")
+
+
+@query("roster_consolidation", """SELECT p.game_id, p.play_id, count(*) AS before, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'merged') AS merged, count(*) FILTER (status = 'unlabelled') AS unlabelled,
+  count(*) FILTER (status = 'short') AS short, round(avg(life / frames) FILTER (status = 'kept'), 6) AS coverage FROM fate JOIN plays p ON p.play_id = fate.play_id GROUP BY ALL""", "fate", "plays")
 def _(t: Tables):
     _, rep = rs.consolidate(video_tracks(t))
-    return rep.select(*PLAY, "before", "kept", "merged", "unlabelled", "short")
+    return rep.select(*PLAY, "before", "kept", "merged", "unlabelled", "short", F.round("coverage", 6).alias("coverage"))
 
 
-@query("consolidated_samples")
+@query("consolidated_samples", """SELECT game_id, v.play_id, who AS nfl_id, count(DISTINCT frame_id) AS n FROM (SELECT video.*, coalesce(winner, video.nfl_id) AS who FROM video JOIN fate f ON f.play_id = video.play_id AND f.nfl_id = video.nfl_id AND status IN ('kept', 'merged')) v
+  SEMI JOIN fate k ON k.play_id = v.play_id AND k.nfl_id = v.who AND k.status = 'kept' GROUP BY ALL""", "video", "fate")
 def _(t: Tables):
     v = video_tracks(t)
     tracks, _ = rs.consolidate(v)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from snapspan.functions.geometry import box_gap, dist, in_box, iou
 from snapspan.operators.pairs import _strip, _strips
+from snapspan.plans.choice import refused
 from snapspan.plans.folds import small_groups
 
 FAR = 1.0e6
@@ -194,8 +195,8 @@ def claim_boxes(points: DataFrame, boxes: DataFrame, keys, pid: str, box: str, p
 def suppress_overlaps(boxes: DataFrame, keys, box: str, limit: float = 0.55, strip: float = 64.0) -> DataFrame:
     """Greedy suppression by score: a box overlapping a kept, better one is dropped.
 
-    Boxes meet on strips of the picture they both reach; boxes that overlap nothing are kept
-    without leaving the JVM.
+    Boxes meet on strips of the picture they both reach; of those that overlap a better one, rounds over the pairs
+    decide which stay. Ties of score go to the lower box.
     """
     def side(name: str) -> DataFrame:
         c = boxes.select(*keys, F.col(box).alias(f"_{name}"), F.col("score").alias(f"_s{name}"),
@@ -205,26 +206,9 @@ def suppress_overlaps(boxes: DataFrame, keys, box: str, limit: float = 0.55, str
     ahead = (F.col("_sa") > F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("_a") < F.col("_b")))
     once = F.col("_s") == F.floor(F.greatest("a_x1", "b_x1") / strip)
     over = side("a").join(side("b"), [*keys, "_s"]).filter(once & ahead & (iou("a_", "b_") >= limit))
-    over = over.select(*keys, F.col("_a").alias("better"), F.col("_b").alias("worse"))
-
-    def drop(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        both = pd.concat([pdf[[*keys, "better"]].set_axis([*keys, box], axis=1), pdf[[*keys, "worse"]].set_axis([*keys, box], axis=1)], ignore_index=True)
-        code = both.groupby([*keys, box], sort=False).ngroup().to_numpy()
-        up, down = code[:n], code[n:]
-        state = np.zeros(code.max() + 1, dtype=int)  # 0 open, 1 kept, -1 dropped
-        while (state == 0).any():
-            waits = np.zeros(len(state), dtype=bool)
-            waits[down[state[up] == 0]] = True
-            state[(state == 0) & ~waits] = 1
-            hit = down[state[up] == 1]
-            state[hit[state[hit] == 0]] = -1
-        gone = both.assign(_c=code).drop_duplicates("_c")
-        return gone[state[gone["_c"].to_numpy()] == -1][[*keys, box]]
-
-    schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in (*keys, box))
-    lost = small_groups(over, list(keys), drop, schema, together=True)
-    return boxes.join(lost, [*keys, box], "left_anti")
+    node = lambda c: F.struct(*keys, F.col(c).alias(box))
+    lost = refused(over.select(node("_a").alias("before"), node("_b").alias("after")))
+    return boxes.join(lost.select("node.*"), [*keys, box], "left_anti")
 
 
 def switches(matches: DataFrame, sp) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapspan.functions.geometry import dist
+from snapspan.plans.session import cut_lineage
 from snapspan.schema import FRAME, PLAY
 
 
@@ -111,15 +112,18 @@ def duplicate_pairs(samples: DataFrame, pid: str, team: str, yards: float, share
                     keys=PLAY, frame: str = "frame_id") -> DataFrame:
     """Same-team tracks that are one person: close on most of the frames they share.
 
-    The join is keyed on (play, frame, team) and reduces to one row per pair before any fold.
+    Tracks that were ever close meet on strips of the field; only for these pairs the frames they share are counted.
     """
-    cols = [pid, "x", "y"]
-    on = [*keys, frame, team]
-    a, b = _as(samples, "a_", on, cols), _as(samples, "b_", on, cols)
-    j = a.join(b, on).filter(F.col(f"a_{pid}") < F.col(f"b_{pid}"))
-    near = dist(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")) <= yards
-    g = j.groupBy(*keys, team, F.col(f"a_{pid}").alias("a"), F.col(f"b_{pid}").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.count_if(near).alias("close"))
+    slim = samples.select(*keys, frame, team, pid, "x", "y")
+    a = slim.withColumn("_strip", _strip(F.col("x"), yards))
+    b = slim.select(*keys, frame, team, F.col(pid).alias("b"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(_strips(F.col("x"), yards)).alias("_strip"))
+    near = a.join(b, [*keys, frame, team, "_strip"]).filter((F.col(pid) < F.col("b")) & (dist(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= yards))
+    near = near.groupBy(*keys, team, F.col(pid).alias("a"), "b").agg(F.count(F.lit(1)).alias("close"))
+    # close frames are at least this share of the shared ones, and those at least so many
+    near = cut_lineage(near.filter(F.col("close") >= share * min_shared))
+    first = near.join(slim.select(*keys, team, frame, F.col(pid).alias("a")), [*keys, team, "a"])
+    both = first.join(slim.select(*keys, team, frame, F.col(pid).alias("b")), [*keys, team, "b", frame])
+    g = both.groupBy(*keys, team, "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("close").alias("close"))
     return g.filter((F.col("shared") >= min_shared) & (F.col("close") / F.col("shared") >= share))
 
 

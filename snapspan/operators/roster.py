@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapspan.operators.pairs import duplicate_pairs
-from snapspan.plans.folds import ordered_fold, small_groups
+from snapspan.plans.choice import refused
+from snapspan.plans.folds import small_groups
 from snapspan.plans.ranking import global_rank
+from snapspan.plans.session import cut_lineage
 from snapspan.schema import CONTRACT_WIDTH, PLAY, DuplicateRules, StitchRules
 
 
@@ -29,7 +31,7 @@ def majority(votes: DataFrame, keys, value: str, at: str) -> DataFrame:
 def fold_duplicates(pairs: DataFrame, lives: DataFrame, pid: str) -> DataFrame:
     """loser -> winner, longest-lived track first; one row per surviving merge.
 
-    ``pairs`` is already one row per pair, so the ordered fold sees a handful of rows per play.
+    ``pairs`` is already one row per pair; merges that share a track wait for each other in rounds.
     """
     a = lives.select(*PLAY, F.col(pid).alias("a"), F.col("life").alias("la"))
     b = lives.select(*PLAY, F.col(pid).alias("b"), F.col("life").alias("lb"))
@@ -38,14 +40,14 @@ def fold_duplicates(pairs: DataFrame, lives: DataFrame, pid: str) -> DataFrame:
     p = p.select(*PLAY, F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"),
                  (-F.greatest("la", "lb")).alias("o1"), (-F.least("la", "lb")).alias("o2"))
 
-    def step(gone: set, row: dict) -> list[dict]:
-        if row["winner"] in gone or row["loser"] in gone:
-            return []
-        gone.add(row["loser"])
-        return [{"game_id": row["game_id"], "play_id": row["play_id"], "loser": row["loser"], "winner": row["winner"]}]
-
-    kind = lives.schema[pid].dataType.simpleString()
-    return ordered_fold(p, PLAY, ["o1", "winner", "o2", "loser"], set, step, f"game_id bigint, play_id bigint, loser {kind}, winner {kind}")
+    # a merge rules out the later ones that its loser takes part in
+    order = F.struct("o1", "winner", "o2", "loser")
+    p = cut_lineage(p.withColumn("order", order))
+    ends = p.select(*PLAY, F.col("order").alias("after"), F.explode(F.array("winner", "loser")).alias("loser"))
+    clash = p.select(*PLAY, F.col("order").alias("before"), "loser").join(ends, [*PLAY, "loser"]).filter(F.col("before") < F.col("after"))
+    node = lambda c: F.struct(*PLAY, F.col(c).alias("order"))
+    lost = refused(clash.select(node("before").alias("before"), node("after").alias("after")))
+    return p.join(lost.select("node.*"), [*PLAY, "order"], "left_anti").select(*PLAY, "loser", "winner")
 
 
 def consolidate(samples: DataFrame, pid: str = "nfl_id", team: str = "club", per_side: int = 11, min_share: float = 0.18,
