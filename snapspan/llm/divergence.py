@@ -4,9 +4,9 @@ Terms are runs of ASCII letters and code points from U+0080 on, with A-Z lowered
 of its documents. With N occurrences of kept terms in a group, a term's share is p = 1 + floor(10^9 (count + 5) / (N + 5 V)). Part ``pair`` sums
 |p - q| of two sources over all kept terms, part ``term`` lists the up to 50 terms whose share in a source exceeds the one in its language most.
 
-Strings come late. Each task counts terms and writes them once, unshuffled, beside a 64-bit digest; what is shuffled and counted are
-digests. For those common enough to be kept, the least and the greatest string behind a digest are looked up. Where they differ, several terms share the
-digest: these, and only these, are counted again by string and judged one by one. All later steps go by digest (and the string where it had to be split), and text is
+Strings come late. First only digests of 64 bits are shuffled, with the documents they stand in. Terms whose digest is common are then counted by source,
+by digest again; beside the counts each task writes down, once, which strings it met. The least and the greatest string behind a digest tell whether several terms share
+it: these, and only these, are counted again by string and judged one by one. All later steps go by digest (and the string where it had to be split), and text is
 joined back for the listed terms alone, whose ties it decides.
 
 Null text, language and source are ''. Texts without terms count for their group all the same: every language and source
@@ -16,9 +16,6 @@ Each source pair of a language is a row of the result; within a language, blocks
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,84 +23,217 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snapspan.llm.common import written
+from snapspan.llm import rolling
+from snapspan.llm.common import slices, utf8_views, written
+from snapspan.llm.phrases import BREAK, Filter, Words, closed, filter_of
+from snapspan.llm.rolling import U
 
 #: Documents of a language a term must stand in; terms listed a source.
 COMMON, LISTED = 30, 50
 SCALE, EXTRA = 1_000_000_000, 5
-#: Terms that a task counts before it tells; bytes of one text read at once; terms of a block.
-HELD, PIECE, BLOCK = 200_000, 1_000_000, 512
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-TERM, GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
+#: Counts that a task adds up before it tells; bytes of texts read at once; terms of a block; bits of the filter of common digests.
+HELD, PIECE, BLOCK, FILTER = 2_000_000, 2_000_000, 512, 1 << 23
+#: Letters with A-Z lowered, all else a break.
+PLAIN = np.full(256, BREAK, np.uint8)
+PLAIN[97:123] = PLAIN[65:91] = np.arange(97, 123)
+PLAIN[128:] = np.arange(128, 256)
 GROUP, TERM_KEY = ["lang", "source"], ["digest", "split"]
 
 
-def terms(text: bytes) -> Counter:
-    """How often each term stands in a text, read in pieces that end at a gap."""
-    text = text.translate(LOWER)
-    found, at = Counter(), 0
-    while at < len(text):
-        gap = GAP.search(text, at + PIECE) if len(text) - at > PIECE else None
-        to = gap.start() if gap else len(text)
-        found.update(TERM.findall(text[at:to] if (at, to) != (0, len(text)) else text))
-        at = to
-    return found
-
-
 def _strings(values: list[bytes]) -> pa.Array:
     made = pa.array(values, pa.binary())
     return pa.StringArray.from_buffers(len(made), made.buffers()[1], made.buffers()[2])
 
 
-def _tell(held: dict):
-    for (lang, source), of in held.items():
-        yield pa.RecordBatch.from_arrays([
-            _strings([lang] * len(of)), _strings([source] * len(of)), _strings(list(of)),
-            pa.array([e[0] for e in of.values()], pa.int64()), pa.array([e[1] for e in of.values()], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+def _digests(names: pa.Array, bits: int) -> np.ndarray:
+    """A digest of each term."""
+    data, at = utf8_views(names)
+    made = rolling.Rolling(data).of(at[:-1], at[1:]) if len(at) > 1 else np.zeros(0, U)
+    return made & U((1 << bits) - 1)
+
+
+class Slice:
+    """The terms of a slice of texts, each by an exact number, with the row it stands in."""
+
+    def __init__(self, texts: pa.Array):
+        data, offsets = closed(texts)
+        words = Words(PLAIN[data], offsets)
+        self.row, self.id, self.names = words.row, words.id, words.names
+
+
+def _slices(batch: pa.RecordBatch):
+    for a, b in slices(utf8_views(batch.column("text"))[1], PIECE):
+        part = batch.slice(a, b - a)
+        yield part, Slice(part.column("text"))
+
+
+def _coded(batch: pa.RecordBatch, *columns: str) -> tuple[np.ndarray, list[tuple]]:
+    """A number for each row's values, and the values."""
+    kinds: dict[tuple, int] = {}
+    rows = zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in columns))
+    return np.fromiter((kinds.setdefault(r, len(kinds)) for r in rows), np.int64, batch.num_rows), list(kinds)
+
+
+class Sums:
+    """Counts by a group and a digest, added up in arrays and told when there are many."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.kinds, self.parts, self.size = columns, {}, [], 0
+
+    def add(self, kinds: list[tuple], group: np.ndarray, digest: np.ndarray, n: np.ndarray):
+        own = np.array([self.kinds.setdefault(k, len(self.kinds)) for k in kinds], np.int64)
+        self.parts.append((own[group], digest, n))
+        self.size += len(digest)
+        if self.size >= HELD:
+            self._join()
+            if self.size >= HELD // 2:
+                yield from self.tell()
+
+    def _join(self) -> None:
+        if not self.parts:
+            return
+        group, digest, n = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((digest, group))
+        group, digest, n = group[order], digest[order], n[order]
+        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (digest[1:] != digest[:-1])]) if len(group) else np.zeros(0, np.int64)
+        self.parts = [(group[first], digest[first], np.add.reduceat(n, first) if len(first) else n)]
+        self.size = len(first)
+
+    def tell(self):
+        self._join()
+        for group, digest, n in self.parts:
+            names = list(self.kinds)
+            for a in range(0, len(digest), 100_000):
+                some = slice(a, a + 100_000)
+                held = [_strings([names[g][c] for g in group[some].tolist()]) for c in range(len(self.columns))]
+                yield held, pa.array(digest[some].view(np.int64)), pa.array(n[some])
+        self.kinds, self.parts, self.size = {}, [], 0
+
+
+def _documents(bits: int):
+    """(lang, digest, docs): in how many documents of a language each term stands, as far as a task has seen."""
+    def shaped(told):
+        for held, digest, n in told:
+            yield pa.RecordBatch.from_arrays([*held, digest, n], names=["lang", "digest", "docs"])
+
+    def count(batches):
+        sums = Sums(["lang"])
+        for batch in batches:
+            for part, s in _slices(batch):
+                lang, kinds = _coded(part, "lang")
+                v = max(len(s.names), 1)
+                once = np.unique(s.row * v + s.id)
+                key, docs = np.unique(lang[once // v] * v + once % v, return_counts=True)
+                yield from shaped(sums.add(kinds, key // v, _digests(s.names, bits)[key % v], docs.astype(np.int64)))
+        yield from shaped(sums.tell())
+
+    return count
+
+
+def _sources(bits: int, common):
+    """(lang, source, digest, n) of terms whose digest may be common, and once a task (lang, digest, term) of each."""
+    def shaped(told):
+        for held, digest, n in told:
+            yield pa.RecordBatch.from_arrays([*held, digest, n, pa.nulls(len(n), pa.string())], names=["lang", "source", "digest", "n", "term"])
+
+    def named(lang: bytes, fresh: list[bytes], digest: np.ndarray):
+        yield pa.RecordBatch.from_arrays([_strings([lang] * len(fresh)), pa.nulls(len(fresh), pa.string()), pa.array(digest.view(np.int64)), pa.nulls(len(fresh), pa.int64()), _strings(fresh)],
+                                         names=["lang", "source", "digest", "n", "term"])
+
+    def count(batches):
+        known = Filter(common.value)
+        sums, seen = Sums(["lang", "source"]), set()
+        for batch in batches:
+            for part, s in _slices(batch):
+                group, kinds = _coded(part, "lang", "source")
+                digests, v = _digests(s.names, bits), max(len(s.names), 1)
+                key, n = np.unique(group[s.row] * v + s.id, return_counts=True)
+                at, term = key // v, key % v
+                keep = np.zeros(len(key), bool)
+                for lang in {k[0] for k in kinds}:
+                    own = np.array([k[0] == lang for k in kinds])
+                    here = np.flatnonzero(own[at])
+                    words = np.unique(term[here])
+                    may = np.zeros(v, bool)
+                    may[words] = known.has(_key(digests[words], lang))
+                    keep[here] = may[term[here]]
+                    words = words[may[words]]
+                    names = s.names.take(pa.array(words)).to_pylist()
+                    new = [i for i, name in enumerate(names) if (lang, name) not in seen]
+                    if new:
+                        seen.update((lang, names[i]) for i in new)
+                        yield from named(lang, [names[i] for i in new], digests[words[new]])
+                yield from shaped(sums.add(kinds, at[keep], digests[term[keep]], n[keep].astype(np.int64)))
+                if len(seen) >= HELD:
+                    seen = set()
+        yield from shaped(sums.tell())
+
+    return count
+
+
+def _apart(bits: int, shared):
+    """(lang, source, digest, split, n, docs) by string, of terms that may share their digest with another."""
+    def count(batches):
+        known = Filter(shared.value)
+        for batch in batches:
+            for part, s in _slices(batch):
+                group, kinds = _coded(part, "lang", "source")
+                digests, v = _digests(s.names, bits), max(len(s.names), 1)
+                row, n = np.unique(s.row * v + s.id, return_counts=True)
+                at, term = group[row // v], row % v
+                keep = np.zeros(len(row), bool)
+                for g, (lang, _) in enumerate(kinds):
+                    here = np.flatnonzero(at == g)
+                    keep[here] = known.has(_key(digests[term[here]], lang))
+                at, term, n = at[keep], term[keep], n[keep]
+                yield pa.RecordBatch.from_arrays([
+                    _strings([kinds[g][0] for g in at.tolist()]), _strings([kinds[g][1] for g in at.tolist()]), pa.array(digests[term].view(np.int64)),
+                    _strings(s.names.take(pa.array(term)).to_pylist()), pa.array(n.astype(np.int64))], names=["lang", "source", "digest", "split", "n"])
+
+    return count
+
+
+def _key(digests: np.ndarray, lang: bytes) -> np.ndarray:
+    data = np.frombuffer(lang, np.uint8)
+    return rolling.mix(digests ^ rolling.Rolling(data).of(np.array([0]), np.array([len(data)]))[0])
+
+
+def _keys(batches):
+    for batch in batches:
+        h = np.zeros(batch.num_rows, U)
+        lang, kinds = _coded(batch, "lang")
+        digests = batch.column("digest").to_numpy(zero_copy_only=False).view(U)
+        for i, (name,) in enumerate(kinds):
+            h[lang == i] = _key(digests[lang == i], name)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
 
-def _count(batches):
-    held, size = {}, 0
-    for batch in batches:
-        for lang, source, text in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "source", "text"))):
-            of = held.setdefault((lang, source), {})
-            before = len(of)
-            for term, n in terms(text).items():
-                e = of.get(term)
-                if e is None:
-                    of[term] = [n, 1]
-                else:
-                    e[0] += n
-                    e[1] += 1
-            size += len(of) - before
-            if size >= HELD:
-                yield from _tell(held)
-                held, size = {}, 0
-    yield from _tell(held)
-
-
-def counted(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(lang, source, digest, term, n, docs) as the tasks count them: a term may have several rows. ``bits`` shortens the digest."""
-    made = docs.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return made.withColumn("digest", F.xxhash64("term").bitwiseAND(F.lit(-1 if bits == 64 else (1 << bits) - 1)))
-
-
-def kept_terms(parts: DataFrame, least: int = COMMON) -> tuple[DataFrame, DataFrame]:
+def _known(pairs: DataFrame):
+    """A filter of a fixed size over (lang, digest)."""
+    return filter_of(pairs.select("lang", "digest").mapInArrow(_keys, "h long"), FILTER)
+
+
+def kept_terms(docs: DataFrame, least: int = COMMON, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """The counts (lang, source, digest, split, n) of kept terms, and their names (lang, digest, split, term).
 
-    ``split`` is empty but for terms that share their digest with another.
+    ``split`` is empty but for terms that share their digest with another. ``bits`` shortens the digest. The documents are read twice: for the digests that
+    are common, then for the counts of these; and a third time only if two terms share one.
     """
-    total = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
-    counts = written(parts.groupBy(*GROUP, "digest").agg(*total), "divergence-digests")
-    common = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "digest")
-    found = parts.select("lang", "digest", "term").join(common, ["lang", "digest"], "left_semi")
+    said = docs.select("lang", "text").mapInArrow(_documents(bits), "lang string, digest long, docs long")
+    common = written(said.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "digest"), "divergence-common")
+    parts = written(docs.mapInArrow(_sources(bits, _known(common)), "lang string, source string, digest long, n long, term string"), "divergence-terms")
+    found = parts.filter("term is not null").select("lang", "digest", "term").join(common, ["lang", "digest"], "left_semi")
     ends = written(found.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "divergence-ends")
-    clear, shared = ends.filter("low = high"), ends.filter("low <> high").select("lang", "digest")
-    again = written(parts.join(shared, ["lang", "digest"], "left_semi").groupBy(*GROUP, "digest", F.col("term").alias("split")).agg(*total), "divergence-split")
-    common = again.groupBy("lang", *TERM_KEY).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", *TERM_KEY)
-    whole = counts.join(clear.select("lang", "digest"), ["lang", "digest"], "left_semi").select(*GROUP, "digest", F.lit("").alias("split"), "n")
-    kept = whole.unionByName(again.join(common, ["lang", *TERM_KEY], "left_semi").select(*GROUP, *TERM_KEY, "n"))
-    names = clear.select("lang", "digest", F.lit("").alias("split"), F.col("low").alias("term")).unionByName(common.withColumn("term", F.col("split")))
+    clear, shared = ends.filter("low = high").select("lang", "digest", "low"), ends.filter("low <> high").select("lang", "digest")
+    counts = parts.filter("term is null").groupBy(*GROUP, "digest").agg(F.sum("n").alias("n"))
+    kept = counts.join(clear.select("lang", "digest"), ["lang", "digest"], "left_semi").select(*GROUP, "digest", F.lit("").alias("split"), "n")
+    names = clear.select("lang", "digest", F.lit("").alias("split"), F.col("low").alias("term"))
+    if not shared.isEmpty():
+        again = docs.mapInArrow(_apart(bits, _known(shared)), "lang string, source string, digest long, split string, n long").join(shared, ["lang", "digest"], "left_semi")
+        again = written(again.groupBy(*GROUP, *TERM_KEY).agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "divergence-split")
+        common = again.groupBy("lang", *TERM_KEY).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", *TERM_KEY)
+        kept = kept.unionByName(again.join(common, ["lang", *TERM_KEY], "left_semi").select(*GROUP, *TERM_KEY, "n"))
+        names = names.unionByName(common.withColumn("term", F.col("split")))
     return written(kept, "divergence-counts"), written(names, "divergence-names")
 
 
@@ -155,7 +285,7 @@ def leading(groups: DataFrame, counts: DataFrame, names: DataFrame, most: int =
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = COMMON, most: int = LISTED, bits: int = 64) -> DataFrame:
     """(lang, source, part, item, value, rank), parts ``pair`` and ``term``."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang), ("source", source), ("text", text))])
-    counts, names = kept_terms(written(counted(docs, bits), "divergence-terms"), least)
+    counts, names = kept_terms(docs, least, bits)
     totals = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
     sizes = names.groupBy("lang").agg(F.count("*").alias("v"))
     none = F.lit(0).cast("long")

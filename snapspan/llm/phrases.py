@@ -76,7 +76,7 @@ class Words:
         self.code = rolling.Rolling(bytes_of).of(place[:-1], place[1:]) | U(1) if len(self.names) else np.zeros(0, U)
 
 
-def _closed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def closed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one buffer, a line break after each; and their starts."""
     data, offsets = utf8_views(texts)
     n = len(offsets) - 1
@@ -133,7 +133,7 @@ def _parsed(batches):
     for batch in batches:
         lang = batch.column("lang")
         for a, b in slices(utf8_views(batch.column("text"))[1], PIECE // 4):
-            row, own, chunk = parse(*_closed(batch.column("text").slice(a, b - a)))
+            row, own, chunk = parse(*closed(batch.column("text").slice(a, b - a)))
             made = pa.array(chunk, pa.binary())
             yield pa.RecordBatch.from_arrays([
                 lang.slice(a, b - a).take(pa.array(row)), pa.StringArray.from_buffers(len(made), made.buffers()[1], made.buffers()[2]), pa.array(own)], names=["lang", "chunk", "own"])
@@ -149,7 +149,7 @@ class Chunks:
     """Chunks of the dictionary, and their phrases."""
 
     def __init__(self, batch: pa.RecordBatch):
-        data, offsets = _closed(batch.column("chunk"))
+        data, offsets = closed(batch.column("chunk"))
         self.w = w = Words(data, offsets)
         lang = batch.column("lang").dictionary_encode()
         self.langs = lang.dictionary

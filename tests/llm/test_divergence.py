@@ -66,11 +66,24 @@ def test_ties_at_the_end_of_the_list(spark):
     assert got(spark, rows, 2, 2, 64) == plain(rows, 2, 2)
 
 
-def test_long_texts_are_read_in_pieces(monkeypatch):
-    text = " ".join(["Mot", "été", "x" * 30, "a1b"] * 500).encode()
-    whole = divergence.terms(text)
-    monkeypatch.setattr(divergence, "PIECE", 17)
-    assert divergence.terms(text) == whole and whole[b"mot"] == 500
+def test_slices_and_full_tables_change_nothing(spark, rows, monkeypatch):
+    """Sums told early and texts of many slices add up to the same counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "HELD", 7)
+    monkeypatch.setattr(divergence, "PIECE", 60)
+    batch = pa.RecordBatch.from_pydict({"lang": [r[0] or "" for r in rows], "text": [r[2] or "" for r in rows]})
+    got = Counter()
+    for b in divergence._documents(64)([batch]):
+        for lang, digest, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[lang, digest] += n
+    want = Counter()
+    for lang, _, text in rows:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        want.update((lang or "", t) for t in set(re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered)))
+    names = pa.array([t.encode() for _, t in want], pa.binary())
+    assert got == Counter(dict(zip(((k[0], int(d)) for k, d in zip(want, divergence._digests(names, 64).view(np.int64))), want.values())))
 
 
 def test_no_documents(spark):

@@ -56,7 +56,7 @@ def rows():
 def test_chunks_own_each_word_once_and_hold_their_phrases(rows):
     texts = [t for _, t in rows]
     for every, longest in ((24, 512), (3, 7), (1, 2), (10**9, 5)):
-        row, own, chunk = phrases.parse(*phrases._closed(pa.array(texts, pa.string())), every, longest)
+        row, own, chunk = phrases.parse(*phrases.closed(pa.array(texts, pa.string())), every, longest)
         mine = [Counter() for _ in texts]
         for r, n, c in zip(row.tolist(), own.tolist(), chunk):
             at = 0
