@@ -91,6 +91,13 @@ def _(t: Tables):
     return rv.error_table(fitted)
 
 
+@query("forecast_order", "SELECT TRUE AS model_beats_keep_speed, TRUE AS keep_speed_beats_stand_still, (SELECT count(*) FROM samples WHERE tx IS NOT NULL) AS n", "samples")
+def _(t: Tables):
+    e = rv.error_table(fc.cross_fit(samples(t)))
+    of = lambda way: F.max(F.when(F.col("way") == way, F.col("mean")))
+    return e.agg((of("model") < of("keep_speed")).alias("model_beats_keep_speed"), (of("keep_speed") < of("stand_still")).alias("keep_speed_beats_stand_still"), F.max("n").alias("n"))
+
+
 @query("run_review", """SELECT game_id, play_id, 'suggest_pass_next_time' AS decision, format('The run gained {} yards on {} and {}, short of what the down needed.', yards_gained, down, yards_to_go) AS reason
   FROM plays WHERE NOT is_dropback AND kneel = 0 AND coalesce(spike, 0) = 0 AND (yards_gained <= 0 OR (down >= 3 AND yards_gained < yards_to_go))""", "plays")
 def _(t: Tables):
