@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: best segmentation by piece scores, shared along the trie of words.
 
-A text gets a leading space, and each space becomes the mark of the word after it; a line break starts a word of its own if no
-piece holds one. No piece crosses a word, so the best segmentation of a text is that of its words. The distinct words of a slice of rows are
+A text gets a leading space, and each space becomes a mark. A word begins at a mark that follows another character, so a run of spaces stays with the word after it; a line break starts a
+word of its own if no piece holds one. All pieces of the model are used, also those of several marks. If no piece has a mark after another character, none crosses a word and the best segmentation of a
+text is that of its words; with a model that has such pieces a text is one word. The distinct words of a slice of rows are
 sorted, which is their trie in depth-first order: the forward scores of the prefix that a word
 shares with the one before it are kept, only the rest is computed. A character that no piece covers costs the least score less ten and is
 written in byte pieces. Equal scores go to the longer last piece.
@@ -16,6 +17,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, L
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: A mark after another character.
+INNER = re.compile("(?<=[^▁])▁")
 #: Stands for a mark that is in the text itself; no text has lone surrogates.
 LITERAL = "\ud800"
 UNKNOWN = 10.0
@@ -42,6 +46,7 @@ class Vocabulary:
     def __post_init__(self):
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN
         self.breaks = not any("\n" in p for p in self.pieces)
+        self.crosses = any(INNER.search(p) for p in self.pieces)
         # all endings of pieces, so that a search backwards stops where no piece can go on
         self.endings = {p[k:]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
 
@@ -51,7 +56,12 @@ class Vocabulary:
             return []
         if MARK in text:
             text = text.replace(MARK, LITERAL)
-        text = MARK + text.replace(" ", " " + MARK)
+        if self.crosses:
+            return [MARK + text.replace(" ", MARK)]
+        if "  " in text or text[0] == " ":
+            text = INNER.sub(" " + MARK, MARK + text.replace(" ", MARK))
+        else:
+            text = MARK + text.replace(" ", " " + MARK)
         return (text.replace("\n", " \n") if self.breaks else text).split(" ")
 
     def segment(self, words) -> dict[str, tuple[tuple[int, ...], float]]:
@@ -103,7 +113,7 @@ class Vocabulary:
 
 
 def load(path: str = MODEL) -> Vocabulary:
-    """Read a model file; control and unused pieces, and those with a mark inside, are left out."""
+    """Read a model file; control and unused pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -116,7 +126,7 @@ def load(path: str = MODEL) -> Vocabulary:
             continue
         plain = not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
         decoded.append((piece.replace(MARK, " ") if plain else "").encode())
-        if plain and MARK not in piece[1:]:
+        if plain:
             pieces[piece] = i, model.get_score(i)
     return Vocabulary(pieces, bytes_, decoded)
 
