@@ -1,7 +1,8 @@
 """Media columns: pages become ordered sequences of text and media, and digests join media to their payloads.
 
 `sequence` parses HTML into an ordered array of structs: text runs, and references to media by the digest of their payload, with the caption of
-their figure or their alternative text. `resolve` joins the references of all pages to a media table by digest
+their figure or their alternative text; a caption may stand before or after its media and inside a figure of figures. A caption that no media takes, or that its
+page never ends, is a text run. `resolve` joins the references of all pages to a media table by digest
 and puts each sequence together again; a reference without payload stays with a null payload, so positions and captions never shift.
 
 Payloads are kept as PNG images of 8-bit grey samples, 24 wide, row after row without filters: any bytes whose number is a
@@ -30,74 +31,116 @@ from snapspan.llm.common import utf8_views, written
 
 WIDTH, UNIT, PAD = 24, 576, 255
 PREFIX = "sha256:"
-PART = StructType().add("position", IntegerType()).add("kind", StringType()).add("text", StringType()).add("digest", StringType()).add("caption", StringType())
+PART = StructType().add("position", IntegerType()).add("kind", StringType()).add("text", StringType()).add("digest", StringType()).add("caption", StringType()).add("source", StringType())
 #: Elements that refer to media, and those that are not text.
 MEDIA, SILENT = {"img", "audio", "video", "source", "embed"}, {"script", "style", "template"}
 BLOCKS = {"p", "div", "article", "section", "figure", "figcaption", "h1", "h2", "h3", "h4", "li", "ul", "ol", "table", "tr", "td", "br", "pre", "blockquote"}
 
 
+class _Figure:
+    """The media of a figure that still lack a caption, and its caption: the part that stands where it began, and the text so far."""
+
+    def __init__(self):
+        self.media, self.place, self.words = [], None, None
+
+
 class _Page(HTMLParser):
     """Collects text runs and media references in document order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts, self.run, self.silent = [], [], 0
-        self.figure, self.caption = [], None
+        self.figures: list[_Figure] = []
+        self.caption: _Figure | None = None
 
     def flush(self):
         text = " ".join("".join(self.run).split())
         self.run = []
         if text:
-            self.parts.append(["text", text, None, None])
+            self.parts.append(["text", text, None, None, None])
+
+    def end_caption(self):
+        self.caption = None
+
+    def end_figure(self, closed: bool = True):
+        """Give the caption to the media; a caption that nobody takes, or that the page never ends, is a text run where it began."""
+        figure = self.figures.pop()
+        open_ = self.caption is figure
+        if open_:
+            self.end_caption()
+        if figure.place is None:
+            if self.figures and self.figures[-1] is not figure:
+                self.figures[-1].media += figure.media  # the caption of the figure around it
+            return
+        text = " ".join("".join(figure.words).split())
+        if text and figure.media and (closed or not open_):
+            for part in figure.media:
+                part[3] = text
+            figure.place[0] = None
+        else:
+            figure.place[:2] = ["text", text] if text else [None, None]
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self.silent += 1
         if tag in BLOCKS or tag in MEDIA:
-            self.flush()
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.words.append(" ")
         if tag == "figure":
-            self.figure = []
-        if tag == "figcaption":
-            self.caption = []
+            self.figures.append(_Figure())
+        if tag == "figcaption" and self.figures and self.figures[-1].place is None:
+            figure = self.figures[-1]
+            figure.place, figure.words = ["text", None, None, None, None], []
+            self.parts.append(figure.place)
+            self.caption = figure
         if tag in MEDIA:
             at = dict(attrs)
             source = at.get("src") or ""
-            part = ["media", None, source.removeprefix(PREFIX) if source.startswith(PREFIX) else None, at.get("alt") or at.get("title")]
+            digest = source.removeprefix(PREFIX) if source.startswith(PREFIX) else None
+            part = ["media", None, digest, at.get("alt") or at.get("title"), source if source and digest is None else None]
             self.parts.append(part)
-            self.figure.append(part)
+            if self.figures:
+                self.figures[-1].media.append(part)
 
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for part in self.figure:  # the caption of a figure is that of its media
-                part[3] = text or part[3]
-        if tag == "figure":
-            self.figure = []
+            self.end_caption()
         if tag in BLOCKS:
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.words.append(" ")
+        if tag == "figure" and self.figures:
             self.flush()
+            self.end_figure()
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        (self.run if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            (self.run if self.caption is None else self.caption.words).append(data)
+
+    def finish(self):
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure(closed=False)
+        return [p for p in self.parts if p[0] is not None]
 
 
-def parse(page: str | None) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, kind, text, digest, caption) in document order."""
+def parse(page: str | None) -> list[tuple[int, str, str | None, str | None, str | None, str | None]]:
+    """(position, kind, text, digest, caption, source) in document order; ``source`` is a reference that is no digest."""
     reader = _Page()
     reader.feed(page or "")
-    reader.close()
-    reader.flush()
-    return [(i, *p) for i, p in enumerate(reader.parts)]
+    return [(i, *p) for i, p in enumerate(reader.finish())]
 
 
 def sequence(page: Column | str) -> Column:
-    """The interleaved sequence of a page as array<struct<position, kind, text, digest, caption>>."""
+    """The interleaved sequence of a page as array<struct<position, kind, text, digest, caption, source>>."""
     def read(pages: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("position", "kind", "text", "digest", "caption"), p)) for p in parse(x)] for x in pages], dtype=object)
+        return pd.Series([[dict(zip(PART.fieldNames(), p)) for p in parse(x)] for x in pages], dtype=object)
 
     return F.pandas_udf(read, ArrayType(PART))(F.col(page) if isinstance(page, str) else page)
 
@@ -109,7 +152,7 @@ def resolve(pages: DataFrame, media: DataFrame, key: str = "key", parts: str = "
     """
     each = pages.select(F.col(key).alias("key"), F.explode_outer(parts).alias("part"))
     joined = each.withColumn("digest", F.col("part.digest")).join(media, "digest", "left")
-    whole = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part.position", "part.kind", "part.text", "digest", "part.caption", "payload")))).alias("parts"))
+    whole = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part.position", "part.kind", "part.text", "digest", "part.caption", "part.source", "payload")))).alias("parts"))
     return whole.withColumnRenamed("key", key) if key != "key" else whole
 
 
