@@ -220,8 +220,10 @@ def _(t: Tables):
     return ch.carrier_chain(near)
 
 
-@query("ball_exchanges", """SELECT w.game_id, w.play_id, 'pass_forward' AS kind, w.throw AS start_frame, h.holder AS giver, g.holder AS receiver, w.arrival AS arrive_frame FROM win w
-  JOIN held h ON h.play_id = w.play_id AND h.frame_id = w.throw JOIN held g ON g.play_id = w.play_id AND g.frame_id = w.arrival""", "win", "held")
+@query("ball_exchanges", """WITH e AS (SELECT game_id, play_id, min(frame_id) FILTER (event = 'pass_forward') AS throw, min(frame_id) FILTER (event = 'pass_arrived') AS arrival FROM trk GROUP BY ALL),
+ n AS (SELECT a.play_id, a.frame_id, a.nfl_id, row_number() OVER (PARTITION BY a.play_id, a.frame_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), a.nfl_id) AS rn FROM men a JOIN ball b ON b.play_id = a.play_id AND b.frame_id = a.frame_id SEMI JOIN e ON e.play_id = a.play_id AND e.arrival = a.frame_id)
+ SELECT e.game_id, e.play_id, 'pass_forward' AS kind, throw AS start_frame, h.holder AS giver, n.nfl_id AS receiver, CASE WHEN arrival > throw THEN arrival END AS arrive_frame FROM e
+  LEFT JOIN held h ON h.play_id = e.play_id AND h.frame_id = throw LEFT JOIN n ON n.play_id = e.play_id AND n.frame_id = arrival AND n.rn = 1 WHERE throw IS NOT NULL""", "trk", "men", "ball", "held")
 def _(t: Tables):
     near = pa.nearest_to_ball(t.men, t.ball)
     return ch.exchanges(held(t).select(*FRAME, F.col("holder").alias("carrier")), t.trk.filter("nfl_id IS NULL"), near, t.play_span())
@@ -236,11 +238,11 @@ def _(t: Tables):
     return k.select(*PLAY, "nfl_id", "tick", F.round(F.col("x") + 1e-8, 6).alias("x"))
 
 
-@query("keyframe_ball", """WITH b AS (SELECT h.game_id, h.play_id, CAST(round(h.t * 10) AS BIGINT) AS tick, h.frame_id, w.throw, w.arrival, w.snap, g.holder AS giver, r.holder AS receiver FROM held h JOIN win w ON w.play_id = h.play_id
-   JOIN held g ON g.play_id = h.play_id AND g.frame_id = w.throw JOIN held r ON r.play_id = h.play_id AND r.frame_id = w.arrival)
- SELECT b.game_id, b.play_id, b.tick, CASE WHEN b.frame_id < b.throw THEN 'carry' ELSE 'pass' END AS kind,
-  round(gm.x + (rm.x - gm.x) * CASE WHEN b.frame_id < b.throw THEN 0 ELSE greatest(least((b.frame_id - b.throw) / (b.arrival - b.throw), 1), 0) END + 1e-8, 4) AS x
- FROM b JOIN men gm ON gm.play_id = b.play_id AND gm.frame_id = b.frame_id AND gm.nfl_id = b.giver JOIN men rm ON rm.play_id = b.play_id AND rm.frame_id = b.frame_id AND rm.nfl_id = b.receiver""", "held", "win", "men")
+@query("keyframe_ball", """WITH f AS (SELECT DISTINCT game_id, play_id, frame_id, CAST(round(t * 10) AS BIGINT) AS tick FROM men),
+ s AS (SELECT w.play_id, w.throw, w.arrival, g.holder AS giver, r.holder AS receiver FROM win w JOIN held g ON g.play_id = w.play_id AND g.frame_id = w.throw JOIN held r ON r.play_id = w.play_id AND r.frame_id = w.arrival WHERE w.snap IS NOT NULL),
+ b AS (SELECT f.*, throw, arrival, giver, CASE WHEN f.frame_id < throw THEN giver ELSE coalesce(receiver, giver) END AS receiver, CASE WHEN throw IS NULL THEN NULL WHEN f.frame_id < throw THEN 'carry' ELSE 'pass' END AS kind FROM f LEFT JOIN s ON s.play_id = f.play_id)
+ SELECT b.game_id, b.play_id, b.tick, kind, round(gm.x + (rm.x - gm.x) * CASE WHEN kind = 'carry' THEN 0 ELSE greatest(least((b.frame_id - throw) / (arrival - throw), 1), 0) END + 1e-8, 4) AS x
+ FROM b LEFT JOIN men gm ON gm.play_id = b.play_id AND gm.frame_id = b.frame_id AND gm.nfl_id = b.giver LEFT JOIN men rm ON rm.play_id = b.play_id AND rm.frame_id = b.frame_id AND rm.nfl_id = b.receiver""", "held", "win", "men")
 def _(t: Tables):
     h, w = held(t), t.win
     who = w.join(h.select(*PLAY, F.col("frame_id").alias("throw"), F.col("holder").alias("giver")), [*PLAY, "throw"])
