@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from snapspan.functions.angles import wrap_deg
 from snapspan.functions.coding import facing
-from snapspan.functions.geometry import face_right
+from snapspan.functions.geometry import face_right, unmirror
 from snapspan.operators import events as ev, review as rv
 from snapspan.operators.roster import roster_of
-from snapspan.operators.timeseries import acceleration
+from snapspan.operators.timeseries import acceleration, facing_from_motion, held_direction, kinematics, resting_angle
 from snapspan.plans.sequences import Span
-from snapspan.schema import ARRIVAL_PRIORITY, FRAME, PLAY, RATE, THROW_NAMES, ReviewRules
+from snapspan.plans.session import cut_lineage
+from snapspan.schema import ARRIVAL_PRIORITY, CONTRACT_WIDTH, FRAME, PLAY, RATE, THROW_NAMES, ReviewRules
 
 
 def release_to_track(rows: DataFrame, sp: Span, directions: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -54,6 +55,55 @@ def release_to_track(rows: DataFrame, sp: Span, directions: DataFrame | None = N
             "meta": meta, "problems": facts.filter(F.col("problem").isNotNull()).select(*PLAY, "problem")}
 
 
+MEASURED, FORECAST = "measured", "forecast"
+
+
+def forecast_to_track(predicted: DataFrame, track: dict[str, DataFrame], cuts: DataFrame | None = None, model: str = "forecast", width: float = CONTRACT_WIDTH) -> dict[str, DataFrame]:
+    """Forecast rows and the plays they continue, as the tables of simulated tracks.
+
+    ``predicted`` has (play, nfl_id, step, x, y) in the release's own frame of reference; ``track`` is what :func:`release_to_track` gave for the plays. Rows are turned with the source play, their
+    clock goes on from ``cuts`` (play, t0), or the last sample of the play where there is none. Speed, acceleration and direction are differenced from the path; facing follows the travel and is never
+    called measured. A player unknown to the source has team ``?`` and is listed in ``meta``. Plays without a source, and those whose steps are not 1 to N, have a ``problem`` and no rows. Each sample
+    has ``lineage``: what it is, by which model, and since when.
+    """
+    p = predicted.select(*PLAY, "nfl_id", F.col("step").cast("int").alias("tick"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    source = track["meta"].select(*PLAY, "play_direction", "mirrored", F.col("source").alias("simulated_from"))
+    steps = p.groupBy(*PLAY).agg(F.count_distinct("tick").alias("_n"), F.min("tick").alias("_low"), F.max("tick").alias("_high")).join(source, PLAY, "left")
+    steps = steps.withColumn("problem", F.when(F.col("mirrored").isNull(), "no source play").when((F.col("_low") != 1) | (F.col("_high") != F.col("_n")), "steps are not 1 to N"))
+    last = track["samples"].groupBy(*PLAY).agg(F.max("t").alias("_end"))
+    good = steps.filter("problem is null").join(last, PLAY, "left")
+    if cuts is not None:
+        good = good.join(cuts.select(*PLAY, "t0"), PLAY, "left").withColumn("t0", F.coalesce("t0", "_end", F.lit(0.0)))
+    else:
+        good = good.withColumn("t0", F.coalesce("_end", F.lit(0.0)))
+    good = cut_lineage(good.select(*PLAY, "play_direction", "mirrored", "simulated_from", "t0", F.col("_n").alias("steps")))
+    x, y = unmirror(F.col("x"), F.col("y"), F.col("mirrored"), width)
+    rows = p.join(good, PLAY).select(*PLAY, "nfl_id", "tick", F.round(F.col("t0") + F.col("tick") / RATE, 3).alias("t"), x.alias("x"), y.alias("y"), "t0")
+    people = rows.select(*PLAY, "nfl_id").distinct().join(track["roster"], [*PLAY, "nfl_id"], "left").withColumn("known", F.col("club").isNotNull())
+    people = cut_lineage(people.withColumn("club", F.coalesce("club", F.lit("?"))))
+    sp = Span((*PLAY, "nfl_id"), ("tick",))
+    moved = held_direction(kinematics(rows, sp), sp).join(people.select(*PLAY, "nfl_id", "club"), [*PLAY, "nfl_id"])
+    moved = cut_lineage(moved.withColumn("rest", resting_angle(F.col("club"))))
+    faced = facing_from_motion(moved, [*PLAY, "nfl_id"], "tick", "rest")
+    lineage = F.struct(F.lit(FORECAST).alias("kind"), F.lit(model).alias("model"), F.col("t0").alias("since"))
+    samples = moved.join(faced, [*PLAY, "nfl_id", "tick"]).select(
+        *PLAY, F.col("tick").alias("step"), "nfl_id", "t", "x", "y", F.col("speed").alias("s"), F.col("accel").alias("a"), wrap_deg(F.col("travel")).alias("dir"), F.col("facing").alias("o"), F.col("facing_source").alias("o_source"), lineage.alias("lineage"))
+    strangers = people.groupBy(*PLAY).agg(F.array_sort(F.collect_list(F.when(~F.col("known"), F.col("nfl_id")))).alias("players_not_in_source_roster"), F.count(F.lit(1)).alias("players"))
+    meta = good.join(strangers, PLAY).select(
+        *PLAY, F.lit("simulated").alias("source"), "simulated_from", F.lit(model).alias("predicted_by"), F.lit(RATE).alias("rate"), "play_direction", "t0", "steps", "players", "players_not_in_source_roster",
+        F.lit(False).alias("orientation_measured"), F.lit(False).alias("acceleration_measured"), F.lit("SIMULATED: these positions are forecast, speed and direction are derived from them, facing is inferred").alias("note"))
+    return {"samples": samples, "roster": people.drop("known"), "meta": meta, "problems": steps.filter("problem is not null").select(*PLAY, "problem")}
+
+
+def joined_track(track: dict[str, DataFrame], simulated: dict[str, DataFrame]) -> DataFrame:
+    """Samples of the real plays before the forecast begins and of the forecast from there on, each with its lineage."""
+    cut = simulated["meta"].select(*PLAY, F.round(F.col("t0") + 1 / RATE, 3).alias("_cut"))
+    cols = [*PLAY, "nfl_id", "t", "x", "y", "s", "a", "dir", "o", "o_source"]
+    none = F.struct(F.lit(MEASURED).alias("kind"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("since"))
+    real = track["samples"].join(cut, PLAY).filter(F.col("t") < F.col("_cut")).select(*cols, none.alias("lineage"))
+    return real.unionByName(simulated["samples"].select(*cols, "lineage"))
+
+
 def play_review(rows: DataFrame, ball: DataFrame, plays: DataFrame, routes: DataFrame, forecast: Callable[[DataFrame], DataFrame] = rv.keep_speed,
                 rules: ReviewRules = ReviewRules()) -> DataFrame:
     """One row a play: when and where the ball came down, how far ahead was forecast, the decision, and notes.
