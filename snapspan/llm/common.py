@@ -60,13 +60,15 @@ def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 8_000_000):
-    """Consecutive row ranges of at most ``limit`` bytes, at least one row each."""
+def slices(offsets: np.ndarray, limit: int = 500_000, rows: int = 1000):
+    """Consecutive row ranges of at most ``limit`` bytes and ``rows`` rows, at least one row each. After the last, unused memory is given back."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
+        to = min(to, n, at + rows)
+        yield at, to
+        at = to
+    pa.default_memory_pool().release_unused()
 
 
 def span_text(spans: Column) -> Column:

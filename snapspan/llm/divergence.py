@@ -62,7 +62,7 @@ class Slice:
 
 
 def _slices(batch: pa.RecordBatch):
-    for a, b in slices(utf8_views(batch.column("text"))[1], PIECE):
+    for a, b in slices(utf8_views(batch.column("text"))[1], PIECE, PIECE):
         part = batch.slice(a, b - a)
         yield part, Slice(part.column("text"))
 

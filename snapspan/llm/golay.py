@@ -159,7 +159,7 @@ def _inside(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _print_column(batches):
     for batch in batches:
         data, offsets = utf8_views(batch.column("text"))
-        for a, b in slices(offsets, 500_000):
+        for a, b in slices(offsets):
             made = fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(made.view(np.int64))], names=["doc_id", "print"])
 

@@ -112,7 +112,7 @@ def _signatures(percent: int):
     def sign(batches):
         for batch in batches:
             data, offsets = utf8_views(batch.column("text"))
-            for a, b in slices(offsets, 2_000_000):
+            for a, b in slices(offsets):
                 rows = b - a
                 row, code = rolling.shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.bincount(row, minlength=rows)
@@ -172,7 +172,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             data, offsets = utf8_views(batch.column("text"))
             a, b, part = (batch.column(c).to_pylist() for c in ("a", "b", "part"))
             links = []
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets):
                 row, code = rolling.shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 for i in range(lo, hi):

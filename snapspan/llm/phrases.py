@@ -132,7 +132,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, every: int = EVERY, longest: in
 def _parsed(batches):
     for batch in batches:
         lang = batch.column("lang")
-        for a, b in slices(utf8_views(batch.column("text"))[1], PIECE // 4):
+        for a, b in slices(utf8_views(batch.column("text"))[1], PIECE // 4, PIECE):
             row, own, chunk = parse(*closed(batch.column("text").slice(a, b - a)))
             made = pa.array(chunk, pa.binary())
             yield pa.RecordBatch.from_arrays([
@@ -246,7 +246,7 @@ def filter_of(hashes: DataFrame, bits: int = FILTER):
 
 
 def _in_parts(batch: pa.RecordBatch):
-    for a, b in slices(utf8_views(batch.column("chunk"))[1], PIECE):
+    for a, b in slices(utf8_views(batch.column("chunk"))[1], PIECE, PIECE):
         yield batch.slice(a, b - a)
 
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,33 +162,33 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-4,
     return Scorer(w, float(b))
 
 
-def _blocks(texts: pd.Series):
-    data, offsets = utf8_views(pa.array(texts, pa.string(), from_pandas=True))
-    for a, b in slices(offsets, 2_000_000):
+def _blocks(texts: pa.Array):
+    data, offsets = utf8_views(texts)
+    for a, b in slices(offsets):
         yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _patterns(texts: pd.Series) -> pd.Series:
+def _patterns(texts: pa.Array) -> pa.Array:
     out = []
     for data, offsets in _blocks(texts):
         out += ["".join(map(str, v)) for v in votes(*statistics(data, offsets)).tolist()]
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
-def _vectors(texts: pd.Series) -> pd.Series:
+def _vectors(texts: pa.Array) -> pa.Array:
     out = []
     for data, offsets in _blocks(texts):
         out += [v.tobytes() for v in hashed(data, offsets, statistics(data, offsets)[0])]
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.binary())
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = 4000) -> tuple[dict[str, float], Scorer]:
     """Labeller posteriors over all documents, and the scorer trained on a bounded sample."""
-    pattern = F.pandas_udf(_patterns, StringType())(text)
+    pattern = F.arrow_udf(_patterns, StringType())(text)
     counts = docs.select(pattern.alias("pattern")).groupBy("pattern").count().collect()
     posterior = label_model(sorted((r["pattern"], r["count"]) for r in counts))
     rows = (sample_texts(docs, text, sample)
-            .select(F.pandas_udf(_patterns, StringType())("text").alias("p"), F.pandas_udf(_vectors, BinaryType())("text").alias("x")).collect())
+            .select(F.arrow_udf(_patterns, StringType())("text").alias("p"), F.arrow_udf(_vectors, BinaryType())("text").alias("x")).collect())
     rows = [r for r in rows if set(r["p"]) != {"2"}]
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, DIM)
     return posterior, train(x, np.array([posterior[r["p"]] for r in rows]))
@@ -199,16 +198,16 @@ def quality(docs: DataFrame, text: str = "text", model=None) -> Column:
     """struct<posterior, score> of ``text``, fitted on ``docs`` unless a model is given; both lie in 0..1."""
     posterior, scorer = model or fit(docs, text)
 
-    def rate(texts: pd.Series) -> pd.DataFrame:
-        out = []
+    def rate(texts: pa.Array) -> pa.Array:
+        out = [(np.zeros(0), np.zeros(0))]
         for data, offsets in _blocks(texts):
             stat, count = statistics(data, offsets)
             post = [posterior.get("".join(map(str, v)), 0.5) for v in votes(stat, count).tolist()]
             some = count > 0
-            out.append(pd.DataFrame({"posterior": np.where(some, post, 0.0), "score": np.where(some, scorer.score(hashed(data, offsets, stat)), 0.0)}))
-        return pd.concat(out) if out else pd.DataFrame({"posterior": [], "score": []}, dtype=float)
+            out.append((np.where(some, post, 0.0), np.where(some, scorer.score(hashed(data, offsets, stat)), 0.0)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.float64)) for c in zip(*out)], names=["posterior", "score"])
 
-    return F.pandas_udf(rate, StructType().add("posterior", DoubleType()).add("score", DoubleType()))(F.col(text))
+    return F.arrow_udf(rate, StructType().add("posterior", DoubleType()).add("score", DoubleType()))(F.col(text))
 
 
 def good_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:

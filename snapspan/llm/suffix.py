@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,9 +300,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     stretches = written(repeated_stretches(docs, doc_id, text), "suffix-stretches").withColumnsRenamed({"text_id": "_text_id", "stretches": "_stretches"})
 
-    @F.pandas_udf(StringType())
-    def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype=object)
+    @F.arrow_udf(StringType())
+    def left(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        # where no stretch is cut the text is not looked at
+        return pa.array([None if t is None or s is None else _cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
     out = docs.join(stretches, _text_id(text) == F.col("_text_id"), "left")
     out = out.withColumn(text, F.when(F.col("_stretches").isNull(), F.col(text)).otherwise(left(F.col(text), F.col("_stretches")))).select(*[F.col(f"`{c}`") for c in docs.columns])
