@@ -74,9 +74,11 @@ def _(t: Tables):
     return s.join(p, PLAY).join(r["plays"].select(*PLAY, "los"), PLAY)
 
 
-@query("game_indexes", "SELECT game_id, CAST(count(*) AS INT) AS n FROM plays GROUP BY ALL", "plays")
+@query("game_indexes", """SELECT game_id, CAST(count(*) AS INT) AS n, concat('H', game_id % 7) AS home, CASE WHEN game_id % 4 > 0 THEN concat('V', game_id % 5) END AS visitor FROM plays GROUP BY ALL""", "plays")
 def _(t: Tables):
-    return wr.index_documents(t.plays).select("game_id", "n")
+    # every fourth game has no visitor told
+    p = t.plays.withColumns({"home_team": F.concat(F.lit("H"), F.col("game_id") % 7), "visitor_team": F.when(F.col("game_id") % 4 > 0, F.concat(F.lit("V"), F.col("game_id") % 5))})
+    return wr.index_documents(p).select("game_id", "n", F.get_json_object("value", "$.homeTeam").alias("home"), F.get_json_object("value", "$.visitorTeam").alias("visitor"))
 
 
 @query("whole_tracks", "SELECT game_id, play_id, frame_id, t, CAST(nfl_id AS VARCHAR) AS player_id, x, y, s, CASE WHEN o IS NULL THEN 'from_dir' ELSE 'measured' END AS o_source FROM men", "men")
