@@ -284,9 +284,21 @@ def repeated_stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         copy = F.row_number().over(Window.partitionBy("text_id", "row_id").orderBy("text_id"))
         return texts.join(wanted, ["text_id", "row_id"]).withColumn("copy", copy).filter("copy = 1").select("text", "wanted").mapInArrow(_cut_contexts, CONTEXT)
 
-    runs = written(_sorted(cut(f"kinds between 2 and {WIDE}")).unionAll(_wide_runs(cut(f"kinds > {WIDE}"))).unionAll(alone), "suffix-runs")
-    places = found.join(runs, ["gram", "block"]).select("text_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + SIZE).alias("high"))
-    return places.groupBy("text_id").agg(F.collect_set(F.struct("low", "high")).alias("stretches"))
+    runs = _merged(_sorted(cut(f"kinds between 2 and {WIDE}")).unionAll(_wide_runs(cut(f"kinds > {WIDE}"))).unionAll(alone))
+    places = found.join(written(runs, "suffix-runs"), ["gram", "block"])
+    cover = F.transform("runs", lambda r: F.struct((F.col("start") + r["low"]).alias("low"), (F.col("start") + r["high"] - 1 + SIZE).alias("high")))
+    return places.select("text_id", cover.alias("cover")).groupBy("text_id").agg(F.flatten(F.collect_set("cover")).alias("stretches"))
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(gram, block, runs): the runs of a block, which has no more than ``SPAN`` windows, in order; those that touch are one."""
+    def add(done, run):
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(last["low"].alias("low"), F.greatest(last["high"], run["high"]).alias("high"))
+        return F.when((F.size(done) > 0) & (run["low"] <= last["high"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(run)))
+
+    each = runs.groupBy("gram", "block").agg(F.array_sort(F.collect_list(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))).alias("runs"))
+    return each.select("gram", "block", F.aggregate("runs", F.array().cast("array<struct<low:int,high:int>>"), add).alias("runs"))
 
 
 def _text_id(text: str = "text"):
