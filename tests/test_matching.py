@@ -107,3 +107,11 @@ def test_verdicts_shuffle_neither_players_nor_boxes(spark):
     from snapspan.catalog.q_verify import rows as verdicts
     from snapspan.catalog.registry import Tables
     assert "Exchange hashpartitioning" not in verdicts(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_tracks_are_found_without_a_shuffle_of_samples(spark):
+    from snapspan.catalog.q_quality import video_tracks
+    from snapspan.catalog.registry import Tables
+    from snapspan.operators.pairs import duplicate_pairs
+    pairs = duplicate_pairs(video_tracks(Tables(spark, "/root/testdata/sf0.001")), "nfl_id", "club", 0.9, 0.6, 4)
+    assert "Exchange hashpartitioning" not in pairs._jdf.queryExecution().executedPlan().toString()
