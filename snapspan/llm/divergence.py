@@ -32,7 +32,7 @@ from snapspan.llm.rolling import U
 COMMON, LISTED = 30, 50
 SCALE, EXTRA = 1_000_000_000, 5
 #: Counts that a task adds up before it tells; bytes of texts read at once; terms of a block; bits of the filter of common digests.
-HELD, PIECE, BLOCK, FILTER = 2_000_000, 2_000_000, 512, 1 << 23
+HELD, PIECE, BLOCK, FILTER = 1_000_000, 500_000, 512, 1 << 23
 #: Letters with A-Z lowered, all else a break.
 PLAIN = np.full(256, BREAK, np.uint8)
 PLAIN[97:123] = PLAIN[65:91] = np.arange(97, 123)

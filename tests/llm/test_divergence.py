@@ -86,6 +86,21 @@ def test_slices_and_full_tables_change_nothing(spark, rows, monkeypatch):
     assert got == Counter(dict(zip(((k[0], int(d)) for k, d in zip(want, divergence._digests(names, 64).view(np.int64))), want.values())))
 
 
+def test_a_task_holds_little_at_once():
+    """Texts of 4 MB in one batch, each word a new one, are worked off in small slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for k in range(500)) for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    tracemalloc.start()
+    told = sum(b.num_rows for b in divergence._documents(64)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == 500_000 and peak < 80e6, (told, peak)
+
+
 def test_no_documents(spark):
     empty = divergence.audit(spark.createDataFrame([], "doc_id long, lang string, source string, text string"))
     assert empty.count() == 0 and empty.columns == ["lang", "source", "part", "item", "value", "rank"]
