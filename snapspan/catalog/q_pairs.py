@@ -136,8 +136,10 @@ add_base("doubled", """SELECT game_id, play_id, frame_id, nfl_id, club, x, y FRO
 def doubled(t: Tables):
     m = t.men.select(*K, "club", "x", "y")
     off = F.when((F.col("nfl_id") % 12 == 5) & (F.col("frame_id") % 3 > 0), 1.5).otherwise(0.5)
-    twin = m.filter("nfl_id % 6 = 5 AND frame_id % 4 > 0").withColumns({"x": F.col("x") + off, "nfl_id": F.col("nfl_id") + 100})
-    return m.unionByName(twin)
+    # twins stand beside their track row by row: a union would part the plays from their buckets
+    own = F.struct("nfl_id", "x")
+    twin = F.when((F.col("nfl_id") % 6 == 5) & (F.col("frame_id") % 4 > 0), F.struct((F.col("nfl_id") + 100).alias("nfl_id"), (F.col("x") + off).alias("x")))
+    return m.select(*FRAME, "club", "y", F.explode(F.array_compact(F.array(own, twin))).alias("v")).select(*FRAME, "v.nfl_id", "club", "v.x", "y")
 
 
 @query("duplicate_tracks", f"""SELECT a.game_id, a.play_id, a.nfl_id AS a, b.nfl_id AS b, count(*) AS shared, count(*) FILTER ({D} <= 0.9) AS close FROM doubled a JOIN doubled b ON a.play_id = b.play_id

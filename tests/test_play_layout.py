@@ -34,6 +34,12 @@ def test_documents_are_made_once(spark, capsys):
     assert capsys.readouterr().out.count("FileScan parquet spark_catalog.default.tracking") <= 9  # once for each of its parts, not for each table read back
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_doubled_tracks_stay_in_their_buckets(spark, capsys):
+    load().QUERIES["duplicate_tracks"](spark, SF).explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+
+
 def test_frames_without_samples_and_plays_without_frames(rows):
     k = "game_id long, play_id long, "
     one = rows([(1, 1, 2, None, 7, 1.0, 2.0, 3.0, 4.0, 5.0, "measured")], k + "frame_id int, event string, nfl_id long, x double, y double, o double, dir double, s double, o_source string")
